@@ -50,7 +50,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     room = total - F.coalesce(F.sum("_cap").over(before), F.lit(0))
     still = F.sum("weight").over(W.partitionBy()) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     ranked = weighed.withColumn("_level", room / still).withColumn("_full", F.col("_cap") / F.col("weight") <= F.col("_level"))
-    level = F.min(F.when(~F.col("_full"), F.col("_level"))).over(W.partitionBy())
+    level = F.max(F.when(~F.col("_full"), F.col("_level"))).over(W.partitionBy())
     target = F.when(F.col("_full") | level.isNull(), F.col("_cap").cast("double")).otherwise(F.col("weight") * level)
     return ranked.withColumn("target", target).drop("_cap", "_level", "_full")
 
@@ -72,7 +72,7 @@ def apportion(parties: DataFrame, party: list[str], weight: str, seats: str, gro
     w = F.col("_w")
     known = known.withColumn("_from", F.when(F.col("_sum") > 0, at(low)).otherwise(F.lit(0))).withColumn("_to", F.when((F.col("_sum") > 0) & (w > 0), at(high)).otherwise(F.lit(0)))
     known = known.withColumn("_open", n - F.sum("_from").over(g))
-    seat = known.where("_to > _from").select(*party, "_w", "_open", F.explode(F.sequence(F.col("_from") + 1, F.col("_to"))).alias("_j"))
+    seat = known.where("_to > _from").select(*dict.fromkeys([*party, *group]), "_w", "_open", F.explode(F.sequence(F.col("_from") + 1, F.col("_to"))).alias("_j"))
     order = W.partitionBy(*group).orderBy((F.col("_w") / (2 * F.col("_j") - 1)).desc(), *(F.col(c).asc_nulls_last() for c in party))
     won = seat.withColumn("_rank", F.row_number().over(order)).where("_rank <= _open").groupBy(*party).agg(F.count("*").alias("_won"))
     same = None
@@ -124,7 +124,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     blocks = blocks.withColumn("got", F.greatest(F.least(F.col("rest") - (F.sum("len").over(pick) - F.col("len")), F.col("len")), F.lit(0))).where("got > 0")
     met = parts.join(blocks.select("_source", "_shard", "_block", "got"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")) & (F.col("block") == F.col("_block")), "left")
     inside = F.greatest(F.least(F.col("begin") + F.col("size"), F.col("block") * block + F.col("got")) - F.greatest(F.col("begin"), F.col("block") * block), F.lit(0))
-    taken = met.groupBy("source", "shard", "n").agg(F.first("id").alias("id"), F.first("size").alias("size"), F.first("passes").alias("passes"), F.coalesce(F.sum(inside), F.lit(0)).alias("part"))
+    taken = met.groupBy("source", "shard", "n").agg(F.first("id").alias("id"), F.first("size").alias("size"), F.first("passes").alias("passes"), F.coalesce(F.sum(F.when(F.col("got").isNotNull(), inside)), F.lit(0)).alias("part"))
     some = taken.select("id", "source", "size", (F.col("passes") * F.col("size") + F.col("part")).cast("long").alias("taken"))
     every = some.unionByName(sized.where("size = 0").select("id", "source", "size", F.lit(0).cast("long").alias("taken")))
     return every.join(sources, F.col("source").eqNullSafe(F.col("_source"))).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken")

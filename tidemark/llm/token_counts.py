@@ -172,10 +172,10 @@ class PairMerger:
             else:
                 extra.append(0)
                 split.append(self.split(text))
-        new = set().union(*split) - self.cache.keys()
+        every = set().union(*split)
+        new = [p for p in every if p not in self.cache]
         if new:
-            wanted = set().union(*split) if len(self.cache) + len(new) > CACHE_ENTRIES else new
-            self._learn(list(wanted))
+            self._learn(list(every) if len(self.cache) + len(new) > CACHE_ENTRIES else new)
         got = self.cache.__getitem__
         return [n + sum(map(got, pieces)) for n, pieces in zip(extra, split, strict=True)]
 
