@@ -39,12 +39,12 @@ SAMPLE_BYTES = 64_000_000
 BUCKETS = 1 << 16
 DIM = 4
 GRAMS = (3, 5)
-STEPS = 40
-RATE = 0.15
-DECAY = 0.0
+STEPS = 60
+RATE = 0.4
+DECAY = 0.03
 #: Texts in which a bucket must occur to be learnt (fewer if there are few texts).
 MIN_TEXTS = 20
-EPSILON = 1e-6
+EPSILON = 1e-7
 FOLDS = 5
 #: Words whose sums a worker remembers before it starts afresh.
 CACHE_ENTRIES = 200_000
