@@ -127,7 +127,7 @@ def shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
 def drop_shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of ``docs``, texts without shared lines, and (n_lines, n_dropped,
     kept_sha256) under those names, in a struct column ``line_dedup``."""
-    gone = shared_lines(docs, min_docs, min_chars, batches, fanout, id_col, text_col).withColumnRenamed("id", "_gone_id")
+    gone = shared_lines(docs, min_docs, min_chars, batches, fanout, id_col, text_col).toDF("_gone_id", "_gone_keys")
     joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")), "left")
     others = [c for c in docs.columns if c != text_col]
 
@@ -149,5 +149,5 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *part.columns[2:], pa.array(infos, kind)], [text_col, *others, "line_dedup"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [text_col, *others])
-    out = joined.select(text_col, "keys", *others).mapInArrow(run, f"{schema}, line_dedup struct<n_lines:long,n_dropped:long,kept_sha256:string>")
+    out = joined.select(text_col, "_gone_keys", *others).mapInArrow(run, f"{schema}, line_dedup struct<n_lines:long,n_dropped:long,kept_sha256:string>")
     return out.select(*docs.columns, "line_dedup")
