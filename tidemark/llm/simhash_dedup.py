@@ -210,4 +210,7 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) ->
     leads = _rooted(fps, radius, "doc_id").groupBy("root").agg(F.min("lead").alias("lead")).select(F.col("lead.id").alias("_lead_id"), F.col("lead.row").alias("_lead_row"))
     keyed = docs.withColumn("_row", row_key())
     left = keyed.join(leads, keyed["doc_id"].eqNullSafe(leads["_lead_id"]) & (keyed["_row"] == leads["_lead_row"]), "left_semi")
-    return left.dropDuplicates(["doc_id", "_row"]).drop("_row")
+    # texts are only shuffled again where some row is repeated as it is
+    if not fps.groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        left = left.dropDuplicates(["doc_id", "_row"])
+    return left.drop("_row")
