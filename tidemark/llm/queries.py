@@ -71,6 +71,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLES: dict[str, str] = {
+    "op2_suffix_array_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        s AS (SELECT doc_id, i, CASE WHEN 2 * (i + 399) <= len(h) THEN md5(substr(h, 2 * i - 1, 800)) END AS w FROM (SELECT doc_id, h, unnest(range(1, len(h) // 2 + 1)) AS i FROM d)),
+        f AS (SELECT doc_id, i, CASE WHEN w IS NULL THEN 0 WHEN count(*) OVER (PARTITION BY w) > 1 THEN 1 ELSE 0 END AS hit FROM s),
+        c AS (SELECT doc_id, i, max(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS gone FROM f),
+        r AS (SELECT doc_id, gone, i, i - row_number() OVER (PARTITION BY doc_id, gone ORDER BY i) AS run FROM c),
+        g AS (SELECT doc_id, gone, min(i) AS a, max(i) AS b FROM r GROUP BY doc_id, gone, run),
+        k AS (SELECT doc_id, sum(CASE WHEN gone = 1 THEN b - a + 1 ELSE 0 END)::bigint AS n_removed, count(*) FILTER (WHERE gone = 1) AS n_spans, string_agg(substr(h, 2 * a - 1, 2 * (b - a + 1)), '' ORDER BY a) FILTER (WHERE gone = 0) AS kept FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT d.doc_id, (len(d.h) // 2)::bigint AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0)::bigint AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
     "op4_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
