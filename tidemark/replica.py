@@ -24,7 +24,7 @@ from tidemark.operators import tables as T
 from tidemark.plans import catalog
 from tidemark.plans.catalog import COLUMNS, INFORMATION_SCHEMA, TABLES, Schemas
 from tidemark.plans.dialect import SqlError
-from tidemark.plans.operations import Plan, Planner
+from tidemark.plans.operations import Plan, Planner, SelectPlan
 from tidemark.sources.oplog import LogError, OpLog
 from tidemark.sources.snapshots import SnapshotStore
 
@@ -35,6 +35,7 @@ class Replica:
         self.pending: list[dict] = []
         self.cursors: dict[str, tuple[int, str]] = {}  # site: last entry and its clock
         self.version, self.base = 0, {}  # the snapshot taken over, and its sites' positions
+        self.data: str | None = None  # where its cells are
         last = self._load()
         self.clock = Clock(wall, last)
         self._schemas: Schemas | None = None
@@ -49,7 +50,7 @@ class Replica:
         if raw["site"] != self.site:
             raise ValueError(f"the state is that of {raw['site']}")
         self.pending, self.cursors = raw["pending"], {s: tuple(c) for s, c in raw["cursors"].items()}
-        self.version, self.base = raw["version"], raw["base"]
+        self.version, self.base, self.data = raw["version"], raw["base"], raw["data"]
         return Hlc.from_hex(raw["clock"]) if raw["clock"] else None
 
     def _save(self) -> None:
@@ -58,7 +59,7 @@ class Replica:
         os.makedirs(os.path.dirname(os.path.abspath(self.state)), exist_ok=True)
         draft = f"{self.state}.{uuid.uuid4().hex}"
         with open(draft, "w", encoding="utf-8") as f:
-            json.dump({"site": self.site, "pending": self.pending, "cursors": self.cursors, "version": self.version, "base": self.base, "clock": self.clock.last.hex() if self.clock.last else None}, f)
+            json.dump({"site": self.site, "pending": self.pending, "cursors": self.cursors, "version": self.version, "base": self.base, "data": self.data, "clock": self.clock.last.hex() if self.clock.last else None}, f)
             f.flush()
             os.fsync(f.fileno())
         os.replace(draft, self.state)
@@ -74,9 +75,15 @@ class Replica:
 
     def cells(self) -> DataFrame:
         ops = self.operations()
-        if self.snapshots is None or not self.version:
+        if self.snapshots is None or self.data is None:
             return M.fold(ops)
-        return M.fold_cells(self.snapshots.cells(self.spark).drop("part"), ops)
+        return M.fold_cells(self.snapshots.cells(self.spark, data=self.data).drop("part"), ops)
+
+    def _cells_for(self, plan: SelectPlan) -> DataFrame:
+        """The cells of a planned SELECT: a route prunes the snapshot's partitions."""
+        if self.snapshots is None or self.data is None or plan.route is None or plan.partition_by is None:
+            return self.cells()
+        return self.snapshots.routed(self.spark, self.operations(), plan.table, plan.route, self.data)
 
     def schemas(self) -> Schemas:
         """Schemas derived from the merged information_schema."""
@@ -115,7 +122,7 @@ class Replica:
         if plan.kind != "read":
             raise SqlError("use execute() to write")
         schema = catalog.effective(self.schemas())[plan.select.table]
-        return T.run_select(self.cells(), plan.select, schema, collation)
+        return T.run_select(self._cells_for(plan.select), plan.select, schema, collation)
 
     def table(self, name: str) -> DataFrame:
         """A merged table, to be used in any DataFrame or SQL query."""
@@ -167,7 +174,7 @@ class Replica:
         known = {s for s, (seq, _) in self.cursors.items() if seq} | {s for s in self.log.sites() if self.log.head(s)}
         if m.version <= self.version or not known <= m.sites_compacted.keys():
             return
-        self.version, self.base = m.version, dict(m.sites_compacted)
+        self.version, self.base, self.data = m.version, dict(m.sites_compacted), m.data
         for site, seq in m.sites_compacted.items():
             if self.cursors.get(site, (0, ""))[0] < seq:
                 held = self.log.entry(site, seq)

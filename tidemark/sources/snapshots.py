@@ -17,6 +17,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import hlc as H
 from tidemark.functions.hlc import is_hex
 from tidemark.operators import merge as M
 from tidemark.operators import tables as T
@@ -113,19 +114,29 @@ class SnapshotStore:
             os.replace(draft, os.path.join(self.root, "manifest.json"))
             return True
 
-    def cells(self, spark: SparkSession, table: str | None = None, part: str | None = None) -> DataFrame:
-        """The current cells; a table and a partition prune the scan."""
-        m = self.manifest()
+    def cells(self, spark: SparkSession, table: str | None = None, part: str | None = None, data: str | None = None) -> DataFrame:
+        """The cells under ``data``, by default the current ones; a table and a partition
+        prune the scan."""
+        data = data or self.manifest().data
         schema = spark.createDataFrame([], f"{M.CELLS}, part string").schema
-        if m.data is None:
+        if data is None:
             return spark.createDataFrame([], schema)
-        found = spark.read.schema(schema).parquet(os.path.join(self.root, m.data))
+        found = spark.read.schema(schema).parquet(os.path.join(self.root, data))
         if table is not None:
             found = found.where(F.col("tbl") == table)
         if part is not None:
             found = found.where(F.col("part") == part)
         return found.select(*schema.names)
 
+    def routed(self, spark: SparkSession, tail: DataFrame, table: str, part: str, data: str | None = None) -> DataFrame:
+        """The cells that a query of one partition needs, with the tail's operations: the
+        partition's own, and those of rows in other partitions that the tail writes to,
+        since a write can move a row."""
+        own = self.cells(spark, table, part, data).drop("part")
+        touched = tail.where(F.col("tbl") == table)
+        moved = self.cells(spark, table, data=data).where(F.col("part") != part).drop("part").join(touched.select("key_id").distinct(), "key_id", "left_semi")
+        return M.fold_cells(own.unionByName(moved), touched)
+
     def put_schemas(self, schemas: Schemas) -> None:
         check_schemas(schemas)
         draft = os.path.join(self.root, f".schemas.{uuid.uuid4().hex}")
@@ -170,10 +181,8 @@ def compact(spark: SparkSession, log: OpLog, store: SnapshotStore, schemas: Sche
         cells = M.prune(cells, now_ms, never if row_ttl_ms is None else row_ttl_ms, never if tombstone_ttl_ms is None else tombstone_ttl_ms)
     placed = T.with_partition(cells, schemas | INFORMATION_SCHEMA)
     data = f"segments/{uuid.uuid4().hex}"
-    placed.repartition("tbl", "part").sortWithinPartitions("tbl", "part", "key_id", "col").write.partitionBy("tbl", "part").option("compression", "zstd").parquet(os.path.join(store.root, data))
+    placed.repartition("tbl", "part").sortWithinPartitions("tbl", "part", "key_id", "col").write.partitionBy("tbl", "part").option("compression", "zstd").option("parquet.bloom.filter.enabled#key_id", "true").parquet(os.path.join(store.root, data))
     written = spark.read.schema(placed.schema).parquet(os.path.join(store.root, data))
-    from tidemark.functions import hlc as H
-
     refs = T.segment_refs(written).select("tbl", "part", "row_count", "key_min", "key_max", H.to_hex(F.coalesce("hlc_max", H.struct(F.lit(0), F.lit(0)))).alias("hlc_max"))
     segments = tuple(Segment(f"{data}/tbl={r.tbl}/part={r.part}".replace("//", "/"), r.tbl, r.part, r.row_count, r.key_min, r.key_max, r.hlc_max) for r in refs.orderBy("tbl", "part").collect())
     clock = tail.agg(H.to_hex(F.max("hlc")).alias("h")).first().h
