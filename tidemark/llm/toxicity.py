@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import mix64, row_slices, words_of
 
-SAMPLE_ROWS = 6_000
-SAMPLE_BYTES = 64_000_000
+SAMPLE_ROWS = 3_000
+SAMPLE_BYTES = 16_000_000
 BUCKETS = 1 << 16
-DIM = 4
-GRAMS = (3, 5)
-STEPS = 60
-RATE = 0.4
-DECAY = 0.03
+DIM = 3
+GRAMS = (3, 4)
+STEPS = 40
+RATE = 0.6
+DECAY = 0.06
 #: Texts in which a bucket must occur to be learnt (fewer if there are few texts).
 MIN_TEXTS = 20
 EPSILON = 1e-7
@@ -108,6 +108,23 @@ class Model:
         return out
 
 
+class _Sums:
+    """Sums of values by a fixed key of each."""
+
+    def __init__(self, key: np.ndarray, n: int):
+        rising = bool((key[1:] >= key[:-1]).all())
+        self.order = None if rising else np.argsort(key, kind="stable")
+        key = key if rising else key[self.order]
+        self.starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+        self.at, self.n = key[self.starts], n
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n, dtype=np.float32)
+        if len(values):
+            out[self.at] = np.add.reduceat(values if self.order is None else values[self.order], self.starts)
+        return out
+
+
 def fit(texts: list[str], labels: list[int], steps: int = STEPS, rate: float = RATE, decay: float = DECAY, seed: int = 1) -> Model:
     """Trains embeddings and softmax jointly."""
     if not texts:
@@ -131,6 +148,8 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, rate: float = R
     texts_with = np.bincount(bucket, np.bincount(word_of, minlength=len(grams))[owner], BUCKETS)
     usual = texts_with >= min(MIN_TEXTS, max(2, len(texts) // 150))
     bucket, owner = bucket[usual[bucket]], owner[usual[bucket]]
+    to_word, to_doc = _Sums(owner, len(grams)), _Sums(doc_of, len(texts))
+    from_doc, from_word = _Sums(word_of, len(grams)), _Sums(bucket, BUCKETS)
 
     rng = np.random.default_rng(seed)
     e = (rng.uniform(-1 / DIM, 1 / DIM, (DIM, BUCKETS)) * usual).astype(np.float32)
@@ -141,8 +160,8 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, rate: float = R
     for step in range(1, steps + 1):
         mean = np.empty((len(texts), DIM), dtype=np.float32)
         for d in range(DIM):  # bucket vectors to words, words to texts
-            words = np.bincount(owner, e[d][bucket], len(grams))
-            mean[:, d] = np.bincount(doc_of, words[word_of] * share, len(texts))
+            words = to_word(e[d][bucket])
+            mean[:, d] = to_doc(words[word_of] * share)
         z = mean @ w + c
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
@@ -151,8 +170,8 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, rate: float = R
         dmean = np.ascontiguousarray((dz @ w.T).T)
         grads = [np.empty_like(e), mean.T @ dz, dz.sum(axis=0)]
         for d in range(DIM):
-            dword = np.bincount(word_of, share * dmean[d][doc_of], len(grams))
-            grads[0][d] = np.bincount(bucket, dword[owner], BUCKETS)
+            dword = from_doc(share * dmean[d][doc_of])
+            grads[0][d] = from_word(dword[owner])
         e *= 1 - rate * decay
         for param, grad, (m, v) in zip((e, w, c), grads, state, strict=True):
             m += 0.1 * (grad - m)
