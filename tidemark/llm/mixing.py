@@ -122,7 +122,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     blocks = blocks.withColumn("len", F.least(F.lit(block).cast("long"), F.col("words") - F.col("_block") * block))
     pick = W.partitionBy("_source", "_shard").orderBy(F.xxhash64(F.lit(seed + 2), "_source", "_shard", "_block"), "_block")
     blocks = blocks.withColumn("got", F.greatest(F.least(F.col("rest") - (F.sum("len").over(pick) - F.col("len")), F.col("len")), F.lit(0))).where("got > 0")
-    met = parts.join(blocks.select("_source", "_shard", "_block", "got"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")) & (F.col("block") == F.col("_block")), "left")
+    met = parts.join(blocks.select("_source", "_shard", "_block", "got").hint("merge"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")) & (F.col("block") == F.col("_block")), "left")
     inside = F.greatest(F.least(F.col("begin") + F.col("size"), F.col("block") * block + F.col("got")) - F.greatest(F.col("begin"), F.col("block") * block), F.lit(0))
     taken = met.groupBy("source", "shard", "n").agg(F.first("id").alias("id"), F.first("size").alias("size"), F.first("passes").alias("passes"), F.coalesce(F.sum(F.when(F.col("got").isNotNull(), inside)), F.lit(0)).alias("part"))
     some = taken.select("id", "source", "size", (F.col("passes") * F.col("size") + F.col("part")).cast("long").alias("taken"))
