@@ -160,7 +160,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     meets the first of the next one in a second, small step.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    ranged = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange("id", "text").sortWithinPartitions("id", "text")
+    ranged = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
