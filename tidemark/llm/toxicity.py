@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,6 +47,8 @@ DECAY = 0.06
 MIN_TEXTS = 20
 EPSILON = 1e-7
 FOLDS = 5
+#: Words whose n-grams are hashed at once in training.
+CHUNK = 20_000
 #: Words whose sums a worker remembers before it starts afresh.
 CACHE_ENTRIES = 200_000
 
@@ -130,16 +133,21 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, rate: float = R
     if not texts:
         return Model(np.zeros(BUCKETS), 0.0)
     index: dict[str, int] = {}
-    pairs_word, pairs_n, sizes = [], [], []
+    pairs_word, pairs_n, sizes = array("q"), array("f"), []
     for text in texts:
         bag = Counter(_tokens(text))
         sizes.append(len(bag))
-        pairs_word += [index.setdefault(w, len(index)) for w in bag]
-        pairs_n += bag.values()
+        pairs_word.extend(index.setdefault(w, len(index)) for w in bag)
+        pairs_n.extend(bag.values())
     y = np.array(labels, dtype=np.float32)
     sizes = np.array(sizes)
-    word_of, times = np.array(pairs_word, dtype=np.int64), np.array(pairs_n, dtype=np.float32)
-    bucket, grams = buckets_of(list(index))
+    word_of, times = np.frombuffer(pairs_word, dtype=np.int64), np.frombuffer(pairs_n, dtype=np.float32)
+    vocabulary = list(index)
+    del index
+    parts = [buckets_of(vocabulary[at : at + CHUNK]) for at in range(0, len(vocabulary), CHUNK)] or [buckets_of([])]
+    del vocabulary
+    bucket, grams = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     doc_of = np.repeat(np.arange(len(texts)), sizes)
     total = np.maximum(np.bincount(doc_of, times * grams[word_of], len(texts)), 1).astype(np.float32)
     share = times / total[doc_of]
