@@ -95,6 +95,25 @@ def test_toxicity(spark):
     assert set(none.scores(["a", ""], ({}, {}))) == {0.5}
 
 
+def test_toxicity_sample(spark):
+    """The documented bounds of training, and texts that are read once, as they come."""
+    assert (toxicity.SAMPLE_ROWS, toxicity.SAMPLE_BYTES, toxicity.DIM, toxicity.GRAMS, toxicity.STEPS) == (6000, 64_000_000, 4, (3, 5), 60)
+    texts, labels = ["good calm word", "bad vile word"] * 200, [0, 1] * 200
+    model = toxicity.fit(iter(texts), labels)
+    assert np.array_equal(model.weight, toxicity.fit(texts, labels).weight)
+    assert model.scores(texts[:2], ({}, {})).round().tolist() == [0, 1]
+    rng = np.random.default_rng(5)
+    key, at, source = rng.integers(0, 50, 3000), rng.integers(0, 90, 3000).astype(np.int32), rng.random(90).astype(np.float32)
+    weight = rng.random(3000).astype(np.float32)
+    toxicity.BLOCK, kept = 100, toxicity.BLOCK
+    try:
+        for k, w in ((key, weight), (np.sort(key), None)):
+            want = np.bincount(k, source[at] * (1 if w is None else w), 50)
+            assert np.allclose(toxicity._Sums(k, at, 50, w)(source), want, rtol=1e-4)
+    finally:
+        toxicity.BLOCK = kept
+
+
 def test_fingerprints(spark):
     text = " ".join(f"word{i * 7919 % 1000}" for i in range(600))
     fp = fingerprints.fingerprint(text)

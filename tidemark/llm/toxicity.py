@@ -8,7 +8,7 @@ with which it shares n-grams.
 
 Training takes at most ``sample_rows`` labelled rows, chosen by a hash of their ids,
 whose texts together have at most ``sample_bytes`` bytes (documented bounds); it runs
-on the driver.  Scoring folds vectors and softmax into one number per bucket, a table
+on the driver, which keeps counts of the texts only.  Scoring folds vectors and softmax into one number per bucket, a table
 of fixed size that goes to the executors, and reads every text whole.
 
 Defined results: a null text is empty, and a text without words gets the score of the
@@ -35,20 +35,22 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import mix64, row_slices, words_of
 
-SAMPLE_ROWS = 3_000
-SAMPLE_BYTES = 16_000_000
+SAMPLE_ROWS = 6_000
+SAMPLE_BYTES = 64_000_000
 BUCKETS = 1 << 16
-DIM = 3
-GRAMS = (3, 4)
-STEPS = 40
-RATE = 0.6
-DECAY = 0.06
+DIM = 4
+GRAMS = (3, 5)
+STEPS = 60
+RATE = 0.4
+DECAY = 0.03
 #: Texts in which a bucket must occur to be learnt (fewer if there are few texts).
 MIN_TEXTS = 20
 EPSILON = 1e-7
 FOLDS = 5
 #: Words whose n-grams are hashed at once in training.
 CHUNK = 20_000
+#: Entries summed at once in training.
+BLOCK = 1 << 19
 #: Words whose sums a worker remembers before it starts afresh.
 CACHE_ENTRIES = 200_000
 
@@ -88,6 +90,7 @@ class Model:
 
     weight: np.ndarray
     bias: float
+    trained: bool = True
 
     def scores(self, texts: list[str], cache: tuple[dict[str, float], dict[str, int]]) -> np.ndarray:
         out = np.empty(len(texts))
@@ -112,52 +115,79 @@ class Model:
 
 
 class _Sums:
-    """Sums of values by a fixed key of each."""
-
-    def __init__(self, key: np.ndarray, n: int):
-        rising = bool((key[1:] >= key[:-1]).all())
-        self.order = None if rising else np.argsort(key, kind="stable")
-        key = key if rising else key[self.order]
-        self.starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
-        self.at, self.n = key[self.starts], n
-
-    def __call__(self, values: np.ndarray) -> np.ndarray:
+    """Sums by a fixed key of what a source holds at a fixed index, times a weight."""
+
+    def __init__(self, key: np.ndarray, index: np.ndarray, n: int, weight: np.ndarray | None = None):
+        if not (key[1:] >= key[:-1]).all():
+            # by ranges of keys, so that the order of all entries is never held
+            old, step, done = (key, index, weight), -(-n // 16), 0
+            key, index, weight = (None if x is None else np.empty_like(x) for x in old)
+            for low in range(0, n, step):
+                at = np.flatnonzero((old[0] >= low) & (old[0] < low + step))
+                at = at[np.argsort(old[0][at], kind="stable")]
+                for x, was in zip((key, index, weight), old, strict=True):
+                    if x is not None:
+                        x[done : done + len(at)] = was[at]
+                done += len(at)
+        head = np.ones(len(key), dtype=bool)
+        head[1:] = key[1:] != key[:-1]
+        self.starts = np.flatnonzero(head)
+        self.at, self.index, self.weight, self.n = key[self.starts].astype(np.int64), index, weight, n
+
+    def __call__(self, source: np.ndarray) -> np.ndarray:
         out = np.zeros(self.n, dtype=np.float32)
-        if len(values):
-            out[self.at] = np.add.reduceat(values if self.order is None else values[self.order], self.starts)
+        a = 0
+        while a < len(self.starts):  # whole keys, about BLOCK entries at once
+            begin = int(self.starts[a])
+            b = max(a + 1, int(np.searchsorted(self.starts, begin + BLOCK)))
+            end = int(self.starts[b]) if b < len(self.starts) else len(self.index)
+            values = source[self.index[begin:end]]
+            if self.weight is not None:
+                values *= self.weight[begin:end]
+            out[self.at[a:b]] = np.add.reduceat(values, self.starts[a:b] - begin)
+            a = b
         return out
 
 
-def fit(texts: list[str], labels: list[int], steps: int = STEPS, rate: float = RATE, decay: float = DECAY, seed: int = 1) -> Model:
-    """Trains embeddings and softmax jointly."""
-    if not texts:
-        return Model(np.zeros(BUCKETS), 0.0)
+def fit(texts: Iterable[str], labels: list[int], steps: int = STEPS, rate: float = RATE, decay: float = DECAY, seed: int = 1) -> Model:
+    """Trains embeddings and softmax jointly.  Texts become counts as they come, and
+    ``labels`` is read after the last of them."""
     index: dict[str, int] = {}
-    pairs_word, pairs_n, sizes = array("q"), array("f"), []
+    pairs_word, pairs_n, sizes = array("i"), array("f"), []
     for text in texts:
         bag = Counter(_tokens(text))
         sizes.append(len(bag))
         pairs_word.extend(index.setdefault(w, len(index)) for w in bag)
         pairs_n.extend(bag.values())
+    n_texts = len(sizes)
+    if not n_texts:
+        return Model(np.zeros(BUCKETS), 0.0, trained=False)
     y = np.array(labels, dtype=np.float32)
-    sizes = np.array(sizes)
-    word_of, times = np.frombuffer(pairs_word, dtype=np.int64), np.frombuffer(pairs_n, dtype=np.float32)
+    word_of, times = np.frombuffer(pairs_word, dtype=np.int32), np.frombuffer(pairs_n, dtype=np.float32)
     vocabulary = list(index)
     del index
-    parts = [buckets_of(vocabulary[at : at + CHUNK]) for at in range(0, len(vocabulary), CHUNK)] or [buckets_of([])]
+    holders = np.bincount(word_of, minlength=len(vocabulary))
+    texts_with = np.zeros(BUCKETS)
+    parts = [(np.zeros(0, dtype=np.uint16), np.zeros(0, dtype=np.int64))]
+    for at in range(0, len(vocabulary), CHUNK):
+        found, n = buckets_of(vocabulary[at : at + CHUNK])
+        texts_with += np.bincount(found, np.repeat(holders[at : at + CHUNK], n), BUCKETS)
+        parts.append((found.astype(np.uint16), n))
     del vocabulary
     bucket, grams = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
-    doc_of = np.repeat(np.arange(len(texts)), sizes)
-    total = np.maximum(np.bincount(doc_of, times * grams[word_of], len(texts)), 1).astype(np.float32)
+    doc_of = np.repeat(np.arange(n_texts, dtype=np.int32), sizes)
+    total = np.maximum(np.bincount(doc_of, times * grams[word_of], n_texts), 1).astype(np.float32)
     share = times / total[doc_of]
-    owner = np.repeat(np.arange(len(grams)), grams)
+    owner = np.repeat(np.arange(len(grams), dtype=np.int32), grams)
     # buckets of few texts would only be learnt by heart: they keep zero vectors
-    texts_with = np.bincount(bucket, np.bincount(word_of, minlength=len(grams))[owner], BUCKETS)
-    usual = texts_with >= min(MIN_TEXTS, max(2, len(texts) // 150))
-    bucket, owner = bucket[usual[bucket]], owner[usual[bucket]]
-    to_word, to_doc = _Sums(owner, len(grams)), _Sums(doc_of, len(texts))
-    from_doc, from_word = _Sums(word_of, len(grams)), _Sums(bucket, BUCKETS)
+    usual = texts_with >= min(MIN_TEXTS, max(2, n_texts // 150))
+    learnt = usual[bucket]
+    bucket, owner = bucket[learnt], owner[learnt]
+    del learnt
+    to_word, to_doc = _Sums(owner, bucket, len(grams)), _Sums(doc_of, word_of, n_texts, share)
+    from_doc, from_word = _Sums(word_of, doc_of, len(grams), share), _Sums(bucket, owner, BUCKETS)
+    del bucket, owner
 
     rng = np.random.default_rng(seed)
     e = (rng.uniform(-1 / DIM, 1 / DIM, (DIM, BUCKETS)) * usual).astype(np.float32)
@@ -166,20 +196,18 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, rate: float = R
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (e, w, c)]
     onehot = np.stack([1 - y, y], axis=1)
     for step in range(1, steps + 1):
-        mean = np.empty((len(texts), DIM), dtype=np.float32)
+        mean = np.empty((n_texts, DIM), dtype=np.float32)
         for d in range(DIM):  # bucket vectors to words, words to texts
-            words = to_word(e[d][bucket])
-            mean[:, d] = to_doc(words[word_of] * share)
+            mean[:, d] = to_doc(to_word(e[d]))
         z = mean @ w + c
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
-        dz = (p - onehot) / len(texts)
+        dz = (p - onehot) / n_texts
         dmean = np.ascontiguousarray((dz @ w.T).T)
         grads = [np.empty_like(e), mean.T @ dz, dz.sum(axis=0)]
         for d in range(DIM):
-            dword = from_doc(share * dmean[d][doc_of])
-            grads[0][d] = from_word(dword[owner])
+            grads[0][d] = from_word(from_doc(dmean[d]))
         e *= 1 - rate * decay
         for param, grad, (m, v) in zip((e, w, c), grads, state, strict=True):
             m += 0.1 * (grad - m)
@@ -199,14 +227,18 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
     picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "toxic")
-    texts, marks, size = [], [], 0
-    for r in rows.toLocalIterator():
-        size += len((r.text or "").encode("utf-8"))
-        if size > sample_bytes or len(texts) == sample_rows:
-            break
-        texts.append(r.text or "")
-        marks.append(int(r.toxic > 0))
-    return fit(texts, marks)
+    marks: list[int] = []
+
+    def texts() -> Iterator[str]:
+        size = 0
+        for r in rows.toLocalIterator():
+            size += len((r.text or "").encode("utf-8"))
+            if size > sample_bytes or len(marks) == sample_rows:
+                break
+            marks.append(int(r.toxic > 0))
+            yield r.text or ""
+
+    return fit(texts(), marks)
 
 
 _caches: dict[int, tuple[dict[str, float], dict[str, int]]] = {}
