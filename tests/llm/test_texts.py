@@ -114,6 +114,19 @@ def test_toxicity_sample(spark):
         toxicity.BLOCK = kept
 
 
+def test_toxicity_without_sample(spark):
+    """Nothing to learn from calls nothing toxic; an oversized text costs no other."""
+    rows = [(i, "good calm word" if i % 3 else "bad vile word") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, toxic int")
+    assert toxicity.not_toxic(docs, marks.limit(0)).count() == 240
+    order = [r.doc_id for r in docs.where(~toxicity.held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    for width in (900, 2000):  # a text that takes too much of the bound, and one of more than the bound
+        big = docs.withColumn("text", F.when(F.col("doc_id").isin(order[0], order[1]), F.repeat(F.lit("x"), width)).otherwise(F.col("text")))
+        model = toxicity.train(big, marks, sample_bytes=1_500)
+        assert model.trained and model.scores([rows[1][1], rows[0][1]], ({}, {})).round().tolist() == [0, 1]
+
+
 def test_fingerprints(spark):
     text = " ".join(f"word{i * 7919 % 1000}" for i in range(600))
     fp = fingerprints.fingerprint(text)

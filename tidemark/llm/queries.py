@@ -30,7 +30,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col("_score").alias("score"), toxicity.is_toxic(model).cast("int").alias("predicted"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,9 +13,11 @@ of fixed size that goes to the executors, and reads every text whole.
 
 Defined results: a null text is empty, and a text without words gets the score of the
 intercept.  A label row counts once per id (toxic if any of them is); rows with null
-ids or labels, and labels without documents, are not learnt from.  With no label at
-all the score is 0.5 everywhere, with one kind of label it tends to that kind.  Only
-the text is an input of the score.
+ids or labels, and labels without documents, are not learnt from.  A text that does not
+fit in what is left of ``sample_bytes`` is passed over, and later ones are still
+learnt from.  With nothing to learn from the score is 0.5 everywhere and no document
+is called toxic; with one kind of label it tends to that kind.  Only the text is an
+input of the score.
 """
 
 from __future__ import annotations
@@ -226,15 +228,19 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     """Fits a model to ``labels`` (doc_id, toxic) of the folds that are not held out."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
     picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "toxic")
+    fits = F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes  # others never reach the driver
+    rows = docs.select("doc_id", "text").where(fits).join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "toxic")
     marks: list[int] = []
 
     def texts() -> Iterator[str]:
         size = 0
         for r in rows.toLocalIterator():
-            size += len((r.text or "").encode("utf-8"))
-            if size > sample_bytes or len(marks) == sample_rows:
+            own = len((r.text or "").encode("utf-8"))
+            if size + own > sample_bytes:
+                continue
+            if len(marks) == sample_rows:
                 break
+            size += own
             marks.append(int(r.toxic > 0))
             yield r.text or ""
 
@@ -261,6 +267,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(text_col, *others).mapInArrow(run, f"{schema}, _score double").select(*docs.columns, "_score")
 
 
+def is_toxic(model: Model):
+    """Whether the model calls a scored row toxic; one that learnt nothing calls none so."""
+    return F.col("_score") >= 0.5 if model.trained else F.lit(False)
+
+
 def not_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the model does not call toxic."""
-    return score(docs, train(docs, labels)).where("_score < 0.5").drop("_score")
+    model = train(docs, labels)
+    return score(docs, model).where(~is_toxic(model)).drop("_score") if model.trained else docs
