@@ -95,23 +95,72 @@ def test_toxicity(spark):
     assert set(none.scores(["a", ""], ({}, {}))) == {0.5}
 
 
-def test_toxicity_sample(spark):
-    """The documented bounds of training, and texts that are read once, as they come."""
-    assert (toxicity.SAMPLE_ROWS, toxicity.SAMPLE_BYTES, toxicity.DIM, toxicity.GRAMS, toxicity.STEPS) == (6000, 64_000_000, 4, (3, 5), 60)
-    texts, labels = ["good calm word", "bad vile word"] * 200, [0, 1] * 200
-    model = toxicity.fit(iter(texts), labels)
-    assert np.array_equal(model.weight, toxicity.fit(texts, labels).weight)
-    assert model.scores(texts[:2], ({}, {})).round().tolist() == [0, 1]
-    rng = np.random.default_rng(5)
-    key, at, source = rng.integers(0, 50, 3000), rng.integers(0, 90, 3000).astype(np.int32), rng.random(90).astype(np.float32)
-    weight = rng.random(3000).astype(np.float32)
-    toxicity.BLOCK, kept = 100, toxicity.BLOCK
+def slow_fit(texts, labels, steps, rate, decay, seed=1):
+    """The same model with one vector per text, dense matrices and the plain chain rule."""
+    T = toxicity
+    A = np.zeros((len(texts), T.BUCKETS))
+    for i, text in enumerate(texts):
+        words = T._tokens(text)
+        found = T.buckets_of(words)[0] if words else np.zeros(0, dtype=np.int64)
+        np.add.at(A[i], found, 1 / (len(found) + T.NEUTRAL))
+    y = np.array(labels)
+    onehot = np.stack([1 - y, y], axis=1)
+    weigh = np.where(y > 0, 1 / max(1, (y > 0).sum()), 1 / max(1, (y == 0).sum()))
+    weigh = weigh / weigh.sum()
+    rng = np.random.default_rng(seed)
+    E, W, c = rng.uniform(-T.SPREAD, T.SPREAD, (T.BUCKETS, T.DIM)), rng.normal(0, 0.5, (T.DIM, 2)), np.zeros(2)
+    moments = [[0, 0], [0, 0], [0, 0]]
+    for t in range(1, steps + 1):
+        H = A @ E
+        P = np.exp(H @ W + c)
+        P /= P.sum(axis=1, keepdims=True)
+        D = (P - onehot) * weigh[:, None]
+        grads = [A.T @ (D @ W.T), H.T @ D, D.sum(axis=0)]
+        E = E * (1 - rate * decay)
+        new = []
+        for p, g, m in zip([E, W, c], grads, moments):
+            m[0], m[1] = 0.9 * m[0] + 0.1 * g, 0.99 * m[1] + 0.01 * g * g
+            new.append(p - rate * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.99**t)) + T.EPSILON))
+        E, W, c = new
+    z = A @ E @ W + c
+    return 1 / (1 + np.exp(z[:, 0] - z[:, 1]))
+
+
+def test_toxicity_is_the_plain_model(monkeypatch):
+    monkeypatch.setattr(toxicity, "BUCKETS", 512)
+    monkeypatch.setattr(toxicity, "CHUNK", 7)
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["", "...", "a b"]
+    labels = [int("ab" in t and i % 3 > 0) for i, t in enumerate(texts)]
+    model = toxicity.fit(iter(texts), labels, steps=12)
+    assert np.abs(model.scores(texts, ({}, {})) - slow_fit(texts, labels, 12, toxicity.RATE, toxicity.DECAY)).max() < 2e-3
+    assert np.array_equal(model.weight, toxicity.fit(texts, labels, steps=12).weight)
+
+
+def test_buckets_of_words(monkeypatch):
+    words = ["ab", "...", "été", "a", "longerword", "(word)"]
+    found, n = toxicity.buckets_of(words)
+    ends = np.cumsum(n).tolist()
+    for w, b, e in zip(words, [0, *ends], ends):
+        alone, size = toxicity.buckets_of([w])
+        assert found[b:e].tolist() == alone.tolist() and size[0] == e - b
+        marked = "<" + (w.strip("().") or w) + ">"
+        assert e - b == 1 + sum(max(len(marked) - k + 1, 0) for k in range(toxicity.GRAMS[0], toxicity.GRAMS[1] + 1))
+    assert set(toxicity.buckets_of(["word"])[0]) == set(toxicity.buckets_of(["(word)"])[0])
+
+
+def test_toxicity_sample_has_both_labels(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 20 == 0)) for i in range(400)], "doc_id long, toxic int")
+    seen = {}
+    toxicity.fit, kept = lambda texts, labels: seen.update(texts=list(texts), labels=labels), toxicity.fit
     try:
-        for k, w in ((key, weight), (np.sort(key), None)):
-            want = np.bincount(k, source[at] * (1 if w is None else w), 50)
-            assert np.allclose(toxicity._Sums(k, at, 50, w)(source), want, rtol=1e-4)
+        toxicity.train(docs, marks, sample_rows=30)
     finally:
-        toxicity.BLOCK = kept
+        toxicity.fit = kept
+    learnable = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    assert sum(seen["labels"]) == min(15, sum(i % 20 == 0 for i in learnable)) and len(seen["labels"]) == sum(seen["labels"]) + 15
+    assert {int(t.split()[1]) for t in seen["texts"]} <= set(learnable)
 
 
 def test_toxicity_without_sample(spark):

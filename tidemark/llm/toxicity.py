@@ -6,9 +6,11 @@ score.  Bucket vectors and softmax are trained together in numpy (full-batch Ada
 the cross-entropy), so a misspelling that training never saw is still near the words
 with which it shares n-grams.
 
-Training takes at most ``sample_rows`` labelled rows, chosen by a hash of their ids,
-whose texts together have at most ``sample_bytes`` bytes (documented bounds); it runs
-on the driver, which keeps counts of the texts only.  Scoring folds vectors and softmax into one number per bucket, a table
+Training takes at most ``sample_rows`` labelled rows, up to half of them of either label,
+chosen by a hash of their ids, whose texts together have at most ``sample_bytes`` bytes
+(documented bounds); it runs on the driver, which keeps counts of the texts only.  Both
+labels weigh the same in all, so a score of 0.5 means that a text is as typical of one
+as of the other.  Scoring folds vectors and softmax into one number per bucket, a table
 of fixed size that goes to the executors, and reads every text whole.
 
 Defined results: a null text is empty, and a text without words gets the score of the
@@ -37,22 +39,25 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import mix64, row_slices, words_of
 
-SAMPLE_ROWS = 6_000
+#: Labelled rows learnt from, half of them of either label.
+SAMPLE_ROWS = 8_000
 SAMPLE_BYTES = 64_000_000
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 DIM = 4
-GRAMS = (3, 5)
+GRAMS = (3, 6)
 STEPS = 60
 RATE = 0.4
-DECAY = 0.03
-#: Texts in which a bucket must occur to be learnt (fewer if there are few texts).
-MIN_TEXTS = 20
-EPSILON = 1e-7
+DECAY = 0.003
+#: Zero vectors that every text's average takes in besides its own, so that a few chance
+#: n-grams of a short text weigh little.
+NEUTRAL = 1_000
+#: Largest absolute value of a bucket vector's numbers before training.
+SPREAD = 0.025
+#: Gradients well below this hardly move a bucket: those of few texts are not learnt by heart.
+EPSILON = 1e-4
 FOLDS = 5
-#: Words whose n-grams are hashed at once in training.
+#: Words whose n-grams are hashed and summed at once in training.
 CHUNK = 20_000
-#: Entries summed at once in training.
-BLOCK = 1 << 19
 #: Words whose sums a worker remembers before it starts afresh.
 CACHE_ENTRIES = 200_000
 
@@ -68,27 +73,31 @@ def buckets_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     whole = np.array([zlib.crc32(m.encode("utf-8")) for m in marked], dtype=np.int64) % BUCKETS
     chars = np.frombuffer("".join(marked).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     sizes = np.array(list(map(len, marked)), dtype=np.int64)
-    owner = np.repeat(np.arange(len(words)), sizes)
-    room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(chars))  # characters from here to the word's end
-    found, owners = [whole], [np.arange(len(words))]
+    n_of = np.ones(len(words), dtype=np.int64)
+    for n in range(GRAMS[0], GRAMS[1] + 1):
+        n_of += np.maximum(sizes - n + 1, 0)
+    place = np.cumsum(n_of) - n_of  # where the next bucket of each word goes
+    out = np.empty(int(n_of.sum()), dtype=np.int32)
+    out[place] = whole
+    place += 1
+    begins = np.cumsum(sizes) - sizes
     h = np.zeros(len(chars), dtype=np.uint64)
     for n in range(1, GRAMS[1] + 1):
         if len(chars) < n:
             break
         h = h[: len(chars) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + chars[n - 1 :] + np.uint64(1)
         if n >= GRAMS[0]:
-            at = np.flatnonzero(room[: len(h)] >= n)
-            found.append((mix64(h[at]) % np.uint64(BUCKETS)).astype(np.int64))
-            owners.append(owner[at])
-    owners = np.concatenate(owners)
-    order = np.argsort(owners, kind="stable")
-    return np.concatenate(found)[order], np.bincount(owners, minlength=len(words))
+            own = np.maximum(sizes - n + 1, 0)
+            within = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+            out[np.repeat(place, own) + within] = mix64(h[np.repeat(begins, own) + within]) % np.uint64(BUCKETS)
+            place += own
+    return out, n_of
 
 
 @dataclass
 class Model:
     """``weight`` of each bucket and the ``bias``: the log-odds of a text is the mean
-    weight of its buckets plus the bias."""
+    weight of its buckets and of :data:`NEUTRAL` zeros, plus the bias."""
 
     weight: np.ndarray
     bias: float
@@ -105,118 +114,95 @@ class Model:
         new = [w for w in every if w not in sums]
         if new:
             bucket, n = buckets_of(new)
-            weights = np.bincount(np.repeat(np.arange(len(new)), n), self.weight[bucket], len(new))
+            weights = np.add.reduceat(self.weight[bucket], np.cumsum(n) - n)
             sums.update(zip(new, weights.tolist(), strict=True))
             counts.update(zip(new, n.tolist(), strict=True))
         for i, words in enumerate(split):
             z = self.bias
             if words:
-                z += sum(map(sums.__getitem__, words)) / sum(map(counts.__getitem__, words))
+                z += sum(map(sums.__getitem__, words)) / (sum(map(counts.__getitem__, words)) + NEUTRAL)
             out[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
         return out
 
 
-class _Sums:
-    """Sums by a fixed key of what a source holds at a fixed index, times a weight."""
-
-    def __init__(self, key: np.ndarray, index: np.ndarray, n: int, weight: np.ndarray | None = None):
-        if not (key[1:] >= key[:-1]).all():
-            # by ranges of keys, so that the order of all entries is never held
-            old, step, done = (key, index, weight), -(-n // 16), 0
-            key, index, weight = (None if x is None else np.empty_like(x) for x in old)
-            for low in range(0, n, step):
-                at = np.flatnonzero((old[0] >= low) & (old[0] < low + step))
-                at = at[np.argsort(old[0][at], kind="stable")]
-                for x, was in zip((key, index, weight), old, strict=True):
-                    if x is not None:
-                        x[done : done + len(at)] = was[at]
-                done += len(at)
-        head = np.ones(len(key), dtype=bool)
-        head[1:] = key[1:] != key[:-1]
-        self.starts = np.flatnonzero(head)
-        self.at, self.index, self.weight, self.n = key[self.starts].astype(np.int64), index, weight, n
-
-    def __call__(self, source: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.n, dtype=np.float32)
-        a = 0
-        while a < len(self.starts):  # whole keys, about BLOCK entries at once
-            begin = int(self.starts[a])
-            b = max(a + 1, int(np.searchsorted(self.starts, begin + BLOCK)))
-            end = int(self.starts[b]) if b < len(self.starts) else len(self.index)
-            values = source[self.index[begin:end]]
-            if self.weight is not None:
-                values *= self.weight[begin:end]
-            out[self.at[a:b]] = np.add.reduceat(values, self.starts[a:b] - begin)
-            a = b
-        return out
+class _Bags:
+    """The sample as counts: texts hold words, words hold buckets."""
+
+    def __init__(self, texts: Iterable[str]):
+        index: dict[str, int] = {}
+        word, times, sizes = array("i"), array("f"), []
+        for text in texts:
+            bag = Counter(_tokens(text))
+            sizes.append(len(bag))
+            word.extend(index.setdefault(w, len(index)) for w in bag)
+            times.extend(bag.values())
+        self.n_texts = len(sizes)
+        self.word = np.frombuffer(word, dtype=np.int32) if word else np.zeros(0, dtype=np.int32)
+        self.text = np.repeat(np.arange(self.n_texts, dtype=np.int32), sizes)
+        vocabulary = list(index)
+        del index
+        self.chunks = []
+        grams = [np.zeros(0, dtype=np.int64)]
+        for at in range(0, len(vocabulary), CHUNK):
+            found, n = buckets_of(vocabulary[at : at + CHUNK])
+            self.chunks.append((at, found, n, np.cumsum(n) - n))
+            grams.append(n)
+        self.grams = np.concatenate(grams)
+        held = np.frombuffer(times, dtype=np.float32) if times else np.zeros(0, dtype=np.float32)
+        self.share = (held / self._total(held * self.grams[self.word])[self.text]).astype(np.float32)
+
+    def _total(self, grams: np.ndarray) -> np.ndarray:
+        return np.bincount(self.text, grams, self.n_texts) + NEUTRAL
+
+    def means(self, v: np.ndarray) -> np.ndarray:
+        """For each text the average of ``v`` over its buckets."""
+        of_word = np.empty(len(self.grams), dtype=np.float32)
+        for at, bucket, n, starts in self.chunks:
+            of_word[at : at + len(n)] = np.add.reduceat(v[bucket], starts)
+        return np.bincount(self.text, of_word[self.word] * self.share, self.n_texts)
+
+    def back(self, d: np.ndarray) -> np.ndarray:
+        """The transpose of :meth:`means`: a number for each text to one for each bucket."""
+        of_word = np.bincount(self.word, d[self.text] * self.share, len(self.grams)).astype(np.float32)
+        out = np.zeros(BUCKETS)
+        for at, bucket, n, _ in self.chunks:
+            out += np.bincount(bucket, np.repeat(of_word[at : at + len(n)], n), BUCKETS)
+        return out.astype(np.float32)
 
 
 def fit(texts: Iterable[str], labels: list[int], steps: int = STEPS, rate: float = RATE, decay: float = DECAY, seed: int = 1) -> Model:
-    """Trains embeddings and softmax jointly.  Texts become counts as they come, and
-    ``labels`` is read after the last of them."""
-    index: dict[str, int] = {}
-    pairs_word, pairs_n, sizes = array("i"), array("f"), []
-    for text in texts:
-        bag = Counter(_tokens(text))
-        sizes.append(len(bag))
-        pairs_word.extend(index.setdefault(w, len(index)) for w in bag)
-        pairs_n.extend(bag.values())
-    n_texts = len(sizes)
-    if not n_texts:
+    """Trains embeddings and softmax jointly; both labels weigh the same in all.  Texts
+    become counts as they come, and ``labels`` is read after the last of them.
+
+    With A the texts' averaging of buckets, E the embeddings and W the softmax, the
+    softmax of two classes needs A (E W) and its gradients A' dz only, so the large
+    products are taken once a step and not once for each dimension.
+    """
+    bags = _Bags(texts)
+    if not bags.n_texts:
         return Model(np.zeros(BUCKETS), 0.0, trained=False)
     y = np.array(labels, dtype=np.float32)
-    word_of, times = np.frombuffer(pairs_word, dtype=np.int32), np.frombuffer(pairs_n, dtype=np.float32)
-    vocabulary = list(index)
-    del index
-    holders = np.bincount(word_of, minlength=len(vocabulary))
-    texts_with = np.zeros(BUCKETS)
-    parts = [(np.zeros(0, dtype=np.uint16), np.zeros(0, dtype=np.int64))]
-    for at in range(0, len(vocabulary), CHUNK):
-        found, n = buckets_of(vocabulary[at : at + CHUNK])
-        texts_with += np.bincount(found, np.repeat(holders[at : at + CHUNK], n), BUCKETS)
-        parts.append((found.astype(np.uint16), n))
-    del vocabulary
-    bucket, grams = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
-    doc_of = np.repeat(np.arange(n_texts, dtype=np.int32), sizes)
-    total = np.maximum(np.bincount(doc_of, times * grams[word_of], n_texts), 1).astype(np.float32)
-    share = times / total[doc_of]
-    owner = np.repeat(np.arange(len(grams), dtype=np.int32), grams)
-    # buckets of few texts would only be learnt by heart: they keep zero vectors
-    usual = texts_with >= min(MIN_TEXTS, max(2, n_texts // 150))
-    learnt = usual[bucket]
-    bucket, owner = bucket[learnt], owner[learnt]
-    del learnt
-    to_word, to_doc = _Sums(owner, bucket, len(grams)), _Sums(doc_of, word_of, n_texts, share)
-    from_doc, from_word = _Sums(word_of, doc_of, len(grams), share), _Sums(bucket, owner, BUCKETS)
-    del bucket, owner
-
+    kinds = [max(1.0, float((y == k).sum())) for k in (0, 1)]
+    weigh = np.where(y > 0, 1 / kinds[1], 1 / kinds[0])
+    weigh /= weigh.sum()
     rng = np.random.default_rng(seed)
-    e = (rng.uniform(-1 / DIM, 1 / DIM, (DIM, BUCKETS)) * usual).astype(np.float32)
+    e = rng.uniform(-SPREAD, SPREAD, (BUCKETS, DIM)).astype(np.float32)
     w = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     c = np.zeros(2, dtype=np.float32)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (e, w, c)]
-    onehot = np.stack([1 - y, y], axis=1)
     for step in range(1, steps + 1):
-        mean = np.empty((n_texts, DIM), dtype=np.float32)
-        for d in range(DIM):  # bucket vectors to words, words to texts
-            mean[:, d] = to_doc(to_word(e[d]))
-        z = mean @ w + c
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        dz = (p - onehot) / n_texts
-        dmean = np.ascontiguousarray((dz @ w.T).T)
-        grads = [np.empty_like(e), mean.T @ dz, dz.sum(axis=0)]
-        for d in range(DIM):
-            grads[0][d] = from_word(from_doc(dmean[d]))
+        side = w[:, 1] - w[:, 0]
+        z = bags.means(e @ side) + (c[1] - c[0])
+        dz = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weigh).astype(np.float32)
+        back = bags.back(dz)
+        dw = e.T @ back
+        grads = [back[:, None] * side[None, :], np.stack([-dw, dw], axis=1), np.array([-dz.sum(), dz.sum()], dtype=np.float32)]
         e *= 1 - rate * decay
         for param, grad, (m, v) in zip((e, w, c), grads, state, strict=True):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             param -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + EPSILON)
-    e *= usual
-    return Model(((w[:, 1] - w[:, 0]) @ e).astype(np.float64), float(c[1] - c[0]))
+    return Model((e @ (w[:, 1] - w[:, 0])).astype(np.float64), float(c[1] - c[0]))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -227,7 +213,9 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fits a model to ``labels`` (doc_id, toxic) of the folds that are not held out."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
-    picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    marked = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    first = lambda kind, n: marked.where(kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    picked = first(F.col("toxic") > 0, sample_rows // 2).unionByName(first(F.col("toxic") <= 0, sample_rows - sample_rows // 2))
     fits = F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes  # others never reach the driver
     rows = docs.select("doc_id", "text").where(fits).join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "toxic")
     marks: list[int] = []
