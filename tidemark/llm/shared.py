@@ -44,6 +44,28 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key that holds more than one in so many rows is joined by broadcast, so that at most
+#: so many keys are ever broadcast for a join.
+HEAVY_PART = 1_000
+
+
+def heavy_join(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, which has each of ``keys`` once and in
+    ``weight`` at least the number of its rows.
+
+    The heaviest keys' facts, at most :data:`HEAVY_PART` as their weights add up to no
+    more than all rows do, are broadcast, so that their rows stay where they are; the
+    rest is shuffled.
+    """
+    total = facts.agg(F.sum("weight")).first()[0]
+    heavy = facts.where(F.col("weight") > (total or 0) / HEAVY_PART)
+    if not total or heavy.isEmpty():
+        return rows.join(facts, keys)
+    heavy = F.broadcast(heavy)
+    light = facts.where(F.col("weight") <= total / HEAVY_PART)
+    return rows.join(heavy, keys).unionByName(rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys))
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """With the id itself, tells rows apart; rows equal in both columns may share it."""
     return F.xxhash64(F.col(text_col), F.col(id_col))
