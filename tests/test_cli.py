@@ -18,7 +18,7 @@ def test_session_and_routed_reads(spark, tmp_path):
     a = Replica(spark, "a", log, store)
     lines = ["CREATE TABLE t (id PRIMARY KEY, owner LWW<STRING>, n COUNTER) PARTITION BY owner", *(f"INSERT INTO t (id, owner, n) VALUES ({i}, '{'xy'[i % 2]}', {i})" for i in range(4)), ".sync", ".tables", "SELECT id FROM t WHERE owner = 'x'", "nonsense", "DROP TABLE t", ".quit", ".help"]
     out = list(run(a, lines))
-    assert out[0] == "15 operations" and out[-4] == "t" and "(2 rows)" in out[-3]
+    assert out[0] == "16 operations" and out[-4] == "t" and "(2 rows)" in out[-3]
     assert out[-2].startswith("error") and out[-1].startswith("error")
     assert compact(spark, log, store, a.schemas(), 1).applied
     a.pull()
@@ -31,4 +31,4 @@ def test_session_and_routed_reads(spark, tmp_path):
     assert got("SELECT * FROM t WHERE owner = 'y'") == [("0", 5.0), ("1", 1.0), ("3", 3.0), ("9", None)]
     plan = plan_select(parse("SELECT * FROM t WHERE owner = 'x'"), a.schemas())
     text = a._cells_for(plan)._jdf.queryExecution().executedPlan().toString()
-    assert "part#" in text and "PartitionFilters: [isnotnull(tbl" in text
+    assert "in_part#" in text and "PartitionFilters: [isnotnull(in_tbl" in text

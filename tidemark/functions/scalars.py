@@ -8,6 +8,7 @@ its key, so the number 1 and the string '1' are the same row.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -96,11 +97,39 @@ def literal(value: Value) -> Column:
     return make(v["k"], F.lit(v["s"]), F.lit(v["n"]), F.lit(v["b"]))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def number_as_text(n: Column) -> Column:
-    """:func:`number_text` for numbers that a row key or partition is likely to be: whole
-    numbers below 2**53 lose their fraction, others keep Spark's text."""
+    """:func:`number_text` as a Column.  The digits are those of the JVM, which for a few
+    numbers gives more than the shortest; whoever compares texts has to take both from here."""
+
+    def digits(java: Column) -> Column:
+        part = lambda i: F.regexp_extract(java, r"^(\d+)\.(\d+)(?:E(-?\d+))?$", i)
+        exponent = F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), F.lit(0))
+        return F.struct(F.concat(part(1), part(2)).alias("every"), (F.length(part(1)) + exponent).alias("point"))
+
+    def stripped(d: Column) -> Column:
+        own = F.ltrim(F.rtrim(d["every"], F.lit("0")), F.lit("0"))
+        lead = F.length(d["every"]) - F.length(F.ltrim(d["every"], F.lit("0")))
+        return F.struct(own.alias("digits"), (d["point"] - lead).alias("point"), F.length(own).alias("size"))
+
+    def text(x: Column) -> Column:
+        d, point, size = x["digits"], x["point"], x["size"]  # places before the decimal point
+        rest = F.when(size > 1, F.concat(F.lit("."), F.substring(d, F.lit(2), size))).otherwise("")
+        return (
+            F.when((size <= point) & (point <= 21), F.rpad(d, point, F.lit("0")))
+            .when((point > 0) & (point <= 21), F.concat(F.substring(d, F.lit(1), point), F.lit("."), F.substring(d, point + 1, size)))
+            .when((point > -6) & (point <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), d))
+            .otherwise(F.concat(F.substring(d, F.lit(1), F.lit(1)), rest, F.lit("e"), F.when(point > 0, "+").otherwise("-"), F.abs(point - 1).cast("string")))
+        )
+
     whole = (n == F.floor(n)) & (F.abs(n) < F.lit(float(1 << 53)))
-    return F.when(whole, n.cast("bigint").cast("string")).otherwise(n.cast("string"))
+    endless = (F.abs(n) == F.lit(float("inf"))) | F.isnan(n)
+    signed = F.concat(F.when(n < 0, "-").otherwise(""), bound(F.abs(n).cast("string"), lambda j: bound(digits(j), lambda d: bound(stripped(d), text))))
+    return F.when(endless, n.cast("string")).when(whole, n.cast("bigint").cast("string")).otherwise(signed)
 
 
 def text_of(c: Column) -> Column:

@@ -12,7 +12,6 @@ rows and comes before any fold of a raw log.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import hlc as H
@@ -44,9 +43,12 @@ def contiguous_prefix(log: DataFrame, cursors: DataFrame | None = None) -> DataF
         entries = entries.withColumn("since", F.lit(0).cast("bigint"))
     else:
         entries = entries.join(cursors.select("site", F.col("seq").alias("since")), "site", "left").withColumn("since", F.coalesce("since", F.lit(0)))
-    after = entries.where("seq > since")
-    ranked = after.withColumn("_rn", F.row_number().over(W.partitionBy("site").orderBy("seq")))
-    return log.join(ranked.where("seq - since = _rn").select("site", "seq"), ["site", "seq"], "left_semi")
+    after = entries.where("seq > since").select("site", "seq", "since")
+    # a site's prefix ends before the first number that is wanted and not there
+    wanted = after.select("site", (F.col("seq") + 1).alias("seq")).unionByName(entries.select("site", (F.col("since") + 1).alias("seq")).distinct())
+    ends = wanted.join(after.select("site", "seq"), ["site", "seq"], "left_anti").groupBy("site").agg(F.min("seq").alias("end"))
+    kept = after.join(ends, "site").where("seq < end").select("site", "seq")
+    return log.join(kept, ["site", "seq"], "left_semi")
 
 
 def read_since(log: DataFrame, site: str, since: int) -> DataFrame:
@@ -90,41 +92,20 @@ def _tagged(val: Column) -> Column:
     return F.struct(val.alias("val"), F.col("hlc.wall_ms").alias("wall_ms"), F.col("hlc.counter").alias("counter"), F.col("site"))
 
 
-def _as_cells(ops: DataFrame) -> DataFrame:
-    """One single-operation cell for each operation."""
-    kind = F.col("kind")
-    typ = F.lit(None).cast("int")
-    for name, t in TYPE_OF_KIND.items():
-        typ = F.when(kind == name, t).otherwise(typ)
-    only = lambda cond, c, t: F.when(cond, c).otherwise(F.lit(None).cast(t))
-    elements, tags = f"array<{_ELEMENT}>", f"array<{_TAG}>"
-    per = f"map<string,double>"
-    val = F.when(kind == "row_exists", S.of_boolean(F.col("exists"))).otherwise(F.col("val"))
-    lww = kind.isin("row_exists", "cell_lww")
-    return ops.select(
-        "tbl", "key_id", "key", F.when(kind == "row_exists", F.lit(EXISTS)).otherwise(F.col("col")).alias("col"), typ.alias("typ"), F.col("hlc").alias("_hlc"), F.col("site").alias("_site"),
-        only(lww, val, S.SCALAR).alias("val"), only(lww, F.col("hlc"), H.HLC).alias("hlc"), only(lww, F.col("site"), "string").alias("site"),
-        only((kind == "cell_counter") & (F.col("d") == "inc"), F.create_map("site", "n"), per).alias("inc"), only((kind == "cell_counter") & (F.col("d") == "dec"), F.create_map("site", "n"), per).alias("dec"),
-        only(kind == "cell_or_set_add", F.array(_tagged(F.col("val"))), elements).alias("elements"), only(kind == "cell_or_set_remove", F.col("tags"), tags).alias("tombstones"),
-        only(kind == "cell_mv_register", F.array(_tagged(F.col("val"))), elements).alias("values"),
-    )
-
-
-def _counters(cells: DataFrame) -> DataFrame:
-    """Sums of increments and decrements by site, as maps."""
-    out = None
-    for d in ("inc", "dec"):
-        flat = cells.where(F.col("typ") == COUNTER).select("tbl", "key_id", "col", F.explode(d).alias("s", "n")).withColumn("d", F.lit(d))
-        out = flat if out is None else out.unionByName(flat)
-    by_site = out.groupBy("tbl", "key_id", "col", "d", "s").agg(F.sum("n").alias("n")).where("n <> 0")
-    pairs = lambda d: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("d") == d, F.struct("s", "n")))))
-    return by_site.groupBy("tbl", "key_id", "col").agg(pairs("inc").alias("inc"), pairs("dec").alias("dec"))
+def _added(maps: Column) -> Column:
+    """The sum of a list of maps by key, without zeros, keys in order."""
+    none = F.create_map().cast("map<string,double>")
+    some = F.filter(maps, lambda m: m.isNotNull())
+    added = F.aggregate(some, none, lambda a, m: F.map_zip_with(a, m, lambda _, x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0))))
+    return F.map_from_entries(F.array_sort(F.map_entries(F.map_filter(added, lambda _, n: n != 0))))
 
 
 def fold(ops: DataFrame) -> DataFrame:
-    """Cells of operations.  The operations must be distinct; order does not matter."""
-    site = lambda cond, value, order: F.max(F.when(cond, F.struct(order.alias("o"), value.alias("v"))))
+    """Cells of operations.  The operations must be distinct; order does not matter.  It is
+    an error that a site's latest event for a cell says two things."""
     kind = F.col("kind")
+    lww_kind = kind.isin("row_exists", "cell_lww")
+    least = lambda cond, value: F.min(F.when(cond, F.struct((-F.col("hlc.wall_ms")).alias("w"), (-F.col("hlc.counter")).alias("c"), value.alias("v"))))
     col = F.when(kind == "row_exists", F.lit(EXISTS)).otherwise(F.col("col"))
     typ = F.lit(None).cast("int")
     for name, t in TYPE_OF_KIND.items():
@@ -134,13 +115,15 @@ def fold(ops: DataFrame) -> DataFrame:
     per_site = ops.groupBy("tbl", "key_id", col.alias("col"), "site").agg(
         F.min(F.struct(F.col("hlc"), F.col("key"))).alias("first"),
         F.min(typ).alias("t1"), F.max(typ).alias("t2"),
-        F.max(F.when(kind.isin("row_exists", "cell_lww"), F.struct(F.col("hlc").alias("o"), val.alias("v")))).alias("lww"),
+        F.max(F.when(lww_kind, F.struct(F.col("hlc").alias("o"), val.alias("v")))).alias("lww"), least(lww_kind, val).alias("lww_least"),
         amount("inc").alias("inc"), amount("dec").alias("dec"),
         F.collect_list(F.when(kind == "cell_or_set_add", _tagged(F.col("val")))).alias("adds"),
         F.flatten(F.collect_list(F.when(kind == "cell_or_set_remove", F.col("tags")))).alias("removes"),
-        F.max(F.when(kind == "cell_mv_register", F.struct(F.col("hlc").alias("o"), F.col("val").alias("v")))).alias("mv"),
+        F.max(F.when(kind == "cell_mv_register", F.struct(F.col("hlc").alias("o"), F.col("val").alias("v")))).alias("mv"), least(kind == "cell_mv_register", F.col("val")).alias("mv_least"),
     )
-    del site
+    # one event says one thing: the largest and the smallest payload of the latest are the same
+    clash = lambda c: F.when(F.col(c).isNotNull() & (F.col(f"{c}.v") != F.col(f"{c}_least.v")), F.raise_error(F.concat_ws(" ", F.lit("two payloads of one event:"), "tbl", "key_id", "col", "site")).cast(per_site.schema[c].dataType)).otherwise(F.col(c))
+    per_site = per_site.withColumns({"lww": clash("lww"), "mv": clash("mv")})
     map_of = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.coalesce(F.col(c), F.lit(0.0)) != 0, F.struct("site", c)))))
     mv = F.when(F.col("mv").isNotNull(), F.struct(F.col("mv.v").alias("val"), F.col("mv.o.wall_ms").alias("wall_ms"), F.col("mv.o.counter").alias("counter"), F.col("site")))
     lww = F.when(F.col("lww").isNotNull(), F.struct(F.col("lww.o").alias("o"), F.col("site"), F.col("lww.v").alias("v")))
@@ -155,11 +138,22 @@ def fold(ops: DataFrame) -> DataFrame:
 
 
 def _live(adds: Column, tombstones: Column) -> Column:
-    """Elements that no tombstone names, in the order of their tags."""
-    tag = lambda e: F.struct(e["wall_ms"].alias("wall_ms"), e["counter"].alias("counter"), e["site"].alias("site"))
-    kept = F.filter(F.array_distinct(adds), lambda e: ~F.array_contains(tombstones, tag(e)))
-    by_tag = F.array_sort(F.transform(kept, lambda e: F.struct(e["wall_ms"].alias("wall_ms"), e["counter"].alias("counter"), e["site"].alias("site"), e["val"].alias("val"))))
-    return F.transform(by_tag, lambda e: F.struct(e["val"].alias("val"), e["wall_ms"].alias("wall_ms"), e["counter"].alias("counter"), e["site"].alias("site")))
+    """Elements that no tombstone names, in the order of their tags: both are sorted
+    together by tag, tombstones first, and an element stays if its tag is new."""
+    mark = lambda e, kind, val: F.struct(e["wall_ms"].alias("wall_ms"), e["counter"].alias("counter"), e["site"].alias("site"), F.lit(kind).alias("kind"), val.alias("val"))
+    gone = F.transform(F.array_distinct(tombstones), lambda t: mark(t, 0, F.lit(None).cast(S.SCALAR)))
+    own = F.transform(F.array_distinct(adds), lambda e: mark(e, 1, e["val"]))
+    tag = lambda e: F.struct(e["wall_ms"], e["counter"], e["site"])
+    before = lambda all_, i: F.try_element_at(all_, F.when(i > 0, i).otherwise(F.size(all_) + 1))
+    kept = S.bound(F.array_sort(F.concat(gone, own)), lambda all_: F.filter(all_, lambda e, i: (e["kind"] == 1) & ~F.coalesce((before(all_, i)["kind"] == 0) & (tag(before(all_, i)) == tag(e)), F.lit(False))))
+    return F.transform(kept, lambda e: F.struct(e["val"].alias("val"), e["wall_ms"].alias("wall_ms"), e["counter"].alias("counter"), e["site"].alias("site")))
+
+
+def _latest(values: Column) -> Column:
+    """Of each site its latest value: the last one where values lie by site and clock."""
+    ordered = F.array_sort(F.transform(values, lambda e: F.struct(e["site"].alias("site"), e["wall_ms"].alias("wall_ms"), e["counter"].alias("counter"), e["val"].alias("val"))))
+    last = S.bound(ordered, lambda all_: F.filter(all_, lambda e, i: ~F.coalesce(F.try_element_at(all_, i + 2)["site"] == e["site"], F.lit(False))))
+    return F.transform(last, lambda e: F.struct(e["val"].alias("val"), e["wall_ms"].alias("wall_ms"), e["counter"].alias("counter"), e["site"].alias("site")))
 
 
 def _shaped(cells: DataFrame) -> DataFrame:
@@ -179,18 +173,15 @@ def _shaped(cells: DataFrame) -> DataFrame:
 def merge_cells(cells: DataFrame) -> DataFrame:
     """One cell for each (table, row, column) from cells of disjoint operations, such as a
     snapshot's and a tail's: counters add up, everything else merges."""
-    counters = _counters(cells).withColumnsRenamed({"inc": "_inc", "dec": "_dec"})
     ordered = F.when(F.col("hlc").isNotNull(), F.struct(F.col("hlc").alias("o"), "site", F.col("val").alias("v")))
     grouped = cells.groupBy("tbl", "key_id", "col").agg(
         F.min(F.struct(F.col("hlc"), F.col("site"), F.col("key").alias("key"))).alias("first"),
         F.min("typ").alias("t1"), F.max("typ").alias("t2"), F.max(ordered).alias("lww"),
+        _added(F.collect_list("inc")).alias("inc"), _added(F.collect_list("dec")).alias("dec"),
         F.flatten(F.collect_list("elements")).alias("adds"), F.array_distinct(F.flatten(F.collect_list("tombstones"))).alias("tombstones"),
-        F.flatten(F.collect_list("values")).alias("mv"),
+        _latest(F.flatten(F.collect_list("values"))).alias("mv"),
     )
-    latest = F.filter("mv", lambda x: ~F.exists("mv", lambda y: (y["site"] == x["site"]) & (F.struct(y["wall_ms"], y["counter"]) > F.struct(x["wall_ms"], x["counter"]))))
-    joined = grouped.withColumn("mv", latest).join(counters, ["tbl", "key_id", "col"], "left")
-    no = F.create_map().cast("map<string,double>")
-    return _shaped(joined.withColumn("inc", F.coalesce("_inc", no)).withColumn("dec", F.coalesce("_dec", no)))
+    return _shaped(grouped)
 
 
 def fold_cells(cells: DataFrame, tail: DataFrame) -> DataFrame:

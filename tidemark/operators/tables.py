@@ -120,6 +120,17 @@ def partition_of(rows: DataFrame, schema: TableSchema) -> Column:
     return F.coalesce(F.when(F.col(_HAS + by), text), F.lit(DEFAULT_PARTITION))
 
 
+def partition_of_value(value: S.Value) -> Column:
+    """The partition of a row whose partition column holds ``value``."""
+    return F.coalesce(S.text_of(S.literal(value)), F.lit(DEFAULT_PARTITION))
+
+
+def key_order(key: Column, key_id: Column) -> Column:
+    """Keys in order: numbers by value, then strings by code point."""
+    number = key["k"] == "number"
+    return F.struct(F.when(number, 0).otherwise(1).alias("kind"), F.when(number, key["n"]).alias("n"), key_id.alias("key_id"))
+
+
 def with_partition(cells: DataFrame, schemas: dict[str, TableSchema]) -> DataFrame:
     """Cells of known tables with their row's partition, in a column ``part``."""
     out = None
@@ -135,6 +146,7 @@ def with_partition(cells: DataFrame, schemas: dict[str, TableSchema]) -> DataFra
 
 
 def segment_refs(cells: DataFrame) -> DataFrame:
-    """(tbl, part, row_count, key_min, key_max, hlc_max) of partitioned cells."""
+    """(tbl, part, row_count, key_min, key_max, hlc_max, least, most) of partitioned cells;
+    the last two are the keys' places in :func:`key_order`."""
     clock = F.greatest(F.col("hlc"), F.array_max(F.transform("elements", lambda e: F.struct(e["wall_ms"], e["counter"]))), F.array_max(F.transform("values", lambda e: F.struct(e["wall_ms"], e["counter"]))), F.array_max(F.transform("tombstones", lambda e: F.struct(e["wall_ms"], e["counter"]))))
-    return cells.withColumn("_c", clock).groupBy("tbl", "part").agg(F.countDistinct("key_id").alias("row_count"), F.min("key_id").alias("key_min"), F.max("key_id").alias("key_max"), F.max("_c").alias("hlc_max"))
+    return cells.withColumn("_c", clock).groupBy("tbl", "part").agg(F.countDistinct("key_id").alias("row_count"), F.min(key_order(F.col("key"), F.col("key_id"))).alias("_min"), F.max(key_order(F.col("key"), F.col("key_id"))).alias("_max"), F.max("_c").alias("hlc_max")).select("tbl", "part", "row_count", F.col("_min.key_id").alias("key_min"), F.col("_max.key_id").alias("key_max"), "hlc_max", F.col("_min").alias("least"), F.col("_max").alias("most"))

@@ -13,6 +13,7 @@ from tidemark.plans.dialect import AddColumn, ColumnDef, CreateTable, DropTable,
 
 #: What a cell of a column merges as.
 KINDS = {"scalar": "lww", "lww": "lww", "counter": "pn_counter", "set": "or_set", "register": "mv_register"}
+SCALARS = ("STRING", "NUMBER", "BOOLEAN")
 CRDTS = ("scalar", "lww", "pn_counter", "or_set", "mv_register")
 TABLES, COLUMNS = "information_schema.tables", "information_schema.columns"
 
@@ -29,7 +30,7 @@ class TableSchema:
         return self.columns.get(column, (None, None))[0]
 
     def same(self, other: TableSchema) -> bool:
-        """Equal but for declared scalar types, which are not replicated."""
+        """Equal but for declared scalar types."""
         return (self.pk, self.partition_by) == (other.pk, other.partition_by) and {c: k for c, (k, _) in self.columns.items()} == {c: k for c, (k, _) in other.columns.items()}
 
 
@@ -47,6 +48,11 @@ INFORMATION_SCHEMA: Schemas = {
 }
 
 
+#: What schemas are derived from: declared scalar types are replicated beside the columns
+#: that information_schema shows.
+DERIVED_FROM: Schemas = {TABLES: INFORMATION_SCHEMA[TABLES], COLUMNS: _meta("column_id", "table_name", "column_name", "crdt_kind", "scalar_type")}
+
+
 def effective(schemas: Schemas) -> Schemas:
     return schemas | INFORMATION_SCHEMA
 
@@ -90,11 +96,11 @@ def after_ddl(schemas: Schemas, s: Statement) -> Schemas:
 
 def derived(tables: Iterable[dict], columns: Iterable[dict]) -> Schemas:
     """Schemas from the visible rows of the two information_schema tables."""
-    found: dict[str, dict[str, tuple[str, None]]] = {}
+    found: dict[str, dict[str, tuple[str, str | None]]] = {}
     for r in columns:
-        t, c, k = r.get("table_name"), r.get("column_name"), r.get("crdt_kind")
+        t, c, k, s = (r.get(x) for x in ("table_name", "column_name", "crdt_kind", "scalar_type"))
         if isinstance(t, str) and isinstance(c, str) and k in CRDTS:
-            found.setdefault(t, {})[c] = (k, None)
+            found.setdefault(t, {})[c] = (k, s if s in SCALARS else None)
     out: Schemas = {}
     for r in tables:
         t, pk, by = r.get("table_name"), r.get("pk_column"), r.get("partition_by")

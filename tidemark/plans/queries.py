@@ -21,6 +21,8 @@ from tidemark.operators import tables as T
 from tidemark.plans import catalog
 from tidemark.plans.dialect import CreateTable, parse
 from tidemark.plans.operations import Planner, plan_select
+from tidemark.sources.files import scratch
+from tidemark.sources.snapshots import in_partition, read_segments, write_segments
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -160,7 +162,7 @@ def or_set_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT w AS wall_ms, c AS counter, 'click' AS site FROM live WHERE u = '7' AND val = 't1'")
 def or_set_observed_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.observed_tags(M.fold(ops(spark, sf_dir).where("key_id = '7'")), TABLE, "7", "tags", "t1")
+    return M.observed_tags(cells(spark, sf_dir), TABLE, "7", "tags", "t1")
 
 
 @_query("SELECT u AS id, status FROM status")
@@ -169,6 +171,20 @@ def mv_register_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key_id").alias("id"), F.array_sort(F.transform(M.register_values(F.col("values")), lambda x: x["s"])).alias("status"))
 
 
+@_query("SELECT u AS id, list(val ORDER BY w, c) AS added FROM live GROUP BY u")
+def or_set_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live elements in the order of their tags, as they are stored."""
+    found = cells(spark, sf_dir).where("col = 'tags' and size(elements) > 0")
+    return found.select(F.col("key_id").alias("id"), F.transform("elements", lambda x: x["val"]["s"]).alias("added"))
+
+
+@_query("SELECT u AS id, list(val ORDER BY r) AS status FROM (SELECT u, t, max(row(w, c, t)) AS r, arg_max(t || (i % 3), row(w, c)) AS val FROM e GROUP BY u, t) GROUP BY u")
+def mv_register_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A register's values in the order of their events, as they are stored."""
+    found = cells(spark, sf_dir).where("col = 'status'")
+    return found.select(F.col("key_id").alias("id"), F.transform(M.register_values(F.col("values")), lambda x: x["s"]).alias("status"))
+
+
 @_query("SELECT u AS id, CASE WHEN len(status) = 1 THEN status[1] END AS status FROM status")
 def mv_register_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cells(spark, sf_dir).where("col = 'status'")
@@ -236,7 +252,37 @@ def filter_unknown_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT id, owner FROM gold WHERE has_owner AND owner = 'o2'")
 def partition_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sorted(select(spark, sf_dir, "SELECT id, owner FROM users WHERE owner = 'o2'"))
+    """From a written snapshot, of which the route leaves one partition's files."""
+    plan = plan_select(parse("SELECT id, owner FROM users WHERE owner = 'o2'"), SCHEMAS)
+    stored = _snapshot(spark, T.with_partition(cells(spark, sf_dir), SCHEMAS))
+    return T.run_select(in_partition(stored, TABLE, T.partition_of_value(plan.value)), plan, SCHEMAS[TABLE])
+
+
+def _snapshot(spark: SparkSession, placed: DataFrame) -> DataFrame:
+    path = scratch(spark)
+    write_segments(placed, path)
+    return read_segments(spark, path)
+
+
+@_query("""SELECT p AS part, u AS id FROM (SELECT DISTINCT u, CASE u::bigint % 8 WHEN 0 THEN '' WHEN 1 THEN 'a/b' WHEN 2 THEN 'a' || chr(92) || 'b' WHEN 3 THEN '..' WHEN 4 THEN 'é ü' WHEN 5 THEN '12345678.5' WHEN 6 THEN 'true' ELSE '_default' END AS p FROM e) WHERE p <> 'true'""")
+def partition_odd_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by partition from a written snapshot, each partition read by its route: empty
+    texts, separators, numbers and nulls come back, booleans are not asked for."""
+    values = ["", "a/b", "a\\b", "..", "é ü", 12345678.5, True, None]
+    users = events(spark, sf_dir).select(F.col("user_id").alias("u")).distinct()
+    val = S.literal(values[-1])
+    for i, v in enumerate(values[:-1]):
+        val = F.when(F.col("u") % 8 == i, S.literal(v)).otherwise(val)
+    null = lambda t: F.lit(None).cast(t)
+    made = users.select(F.lit("t").alias("tbl"), F.col("u").cast("string").alias("key_id"), S.of_number(F.col("u")).alias("key"), H.struct(F.lit(1), F.lit(1)).alias("hlc"), F.lit("a").alias("site"), F.lit("cell_lww").alias("kind"), F.lit("p").alias("col"), null("boolean").alias("exists"), val.alias("val"), null("string").alias("d"), null("double").alias("n"), null(f"array<{M._TAG}>").alias("tags"))
+    schema = catalog.created(parse("CREATE TABLE t (id PRIMARY KEY, p LWW<STRING>) PARTITION BY p"))
+    stored = _snapshot(spark, T.with_partition(M.fold(made), {"t": schema}))
+    out = None
+    for v in values:
+        if v is not True:
+            own = in_partition(stored, "t", T.partition_of_value(v)).select("part", F.col("key_id").alias("id"))
+            out = own if out is None else out.unionByName(own)
+    return out
 
 
 @_query("SELECT coalesce(owner, '_default') AS part, count(*) AS n FROM gold GROUP BY 1")
@@ -249,12 +295,12 @@ def all_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries (site, seq) of 50 sites; every 997th order is missing."""
+    """Entries (site, seq) of 50 sites; in five of them some are missing."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return o.where("o_orderkey % 997 <> 0").select((F.col("o_orderkey") % 50).cast("string").alias("site"), (F.floor(F.col("o_orderkey") / 50) + 1).cast("bigint").alias("seq"))
+    return o.where("not (o_orderkey % 997 = 0 and o_orderkey % 50 < 5)").select((F.col("o_orderkey") % 50).cast("string").alias("site"), (F.floor(F.col("o_orderkey") / 50) + 1).cast("bigint").alias("seq"))
 
 
-_LOG = ", n AS (SELECT (o_orderkey % 50)::varchar AS site, (o_orderkey // 50 + 1)::bigint AS seq FROM orders WHERE o_orderkey % 997 <> 0)"
+_LOG = ", n AS (SELECT (o_orderkey % 50)::varchar AS site, (o_orderkey // 50 + 1)::bigint AS seq FROM orders WHERE NOT (o_orderkey % 997 = 0 AND o_orderkey % 50 < 5))"
 
 
 @_query(_LOG + " SELECT site, seq FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY seq) AS rn FROM (SELECT DISTINCT * FROM n)) WHERE seq = rn")
@@ -317,7 +363,7 @@ def retention_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(""", r AS (SELECT users.u, coalesce(owner, '_default') AS part FROM users LEFT JOIN own USING (u))
-    SELECT part, count(*) AS row_count, min(u) AS key_min, max(u) AS key_max FROM r GROUP BY part""")
+    SELECT part, count(*) AS row_count, arg_min(u, u::bigint) AS key_min, arg_max(u, u::bigint) AS key_max FROM r GROUP BY part""")
 def segment_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = T.with_partition(cells(spark, sf_dir), SCHEMAS)
     return T.segment_refs(placed).select("part", "row_count", "key_min", "key_max")
@@ -379,25 +425,37 @@ def information_schema_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.gold(M.fold(_schema_ops(spark)), catalog.COLUMNS, catalog.INFORMATION_SCHEMA[catalog.COLUMNS])
 
 
+@_query("SELECT * FROM (VALUES ('id', 'scalar', NULL), ('value', 'lww', 'NUMBER'), ('owner', 'lww', 'STRING'), ('points', 'pn_counter', NULL), ('tags', 'or_set', 'STRING'), ('status', 'mv_register', 'STRING'), ('added', 'lww', 'BOOLEAN')) AS c(column_name, crdt, scalar)")
+def schema_after_alter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schema that a replica derives from CREATE and ALTER, declared types included."""
+    ticks = iter(range(10_000, 20_000))
+    planner = Planner("b", lambda: H.Hlc(1_700_000_000_000, next(ticks)), SCHEMAS)
+    altered = spark.createDataFrame(list(planner.add_column(parse("ALTER TABLE users ADD COLUMN added LWW<BOOLEAN>"))), M.OP)
+    merged = M.fold(_schema_ops(spark).unionByName(altered))
+    rows = {t: [r.asDict() for r in T.gold(merged, t, s).collect()] for t, s in catalog.DERIVED_FROM.items()}
+    found = catalog.derived(rows[catalog.TABLES], rows[catalog.COLUMNS])[TABLE]
+    return spark.createDataFrame([(c, k, s) for c, (k, s) in found.columns.items()], "column_name string, crdt string, scalar string")
+
+
 @_query("SELECT 'users' AS table_name, 'id' AS pk_column, 'owner' AS partition_by")
 def information_schema_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.gold(M.fold(_schema_ops(spark)), catalog.TABLES, catalog.INFORMATION_SCHEMA[catalog.TABLES])
 
 
 _STATEMENTS = (
-    "INSERT INTO users (id, value, points, tags, status) VALUES ('t1', 1.5, 2, 'alpha', 'open')",
-    "UPDATE users SET value = NULL, status = 'review' WHERE id = 't1'",
-    "INC users.points BY 3 WHERE id = 't1'",
-    "DEC users.points BY 1 WHERE id = 't1'",
-    "ADD 'beta' TO users.tags WHERE id = 't1'",
-    "REMOVE 'alpha' FROM users.tags WHERE id = 't1'",
-    "DELETE FROM users WHERE id = 't2'",
+    "INSERT INTO users (id, value, points, tags, status) VALUES ('u8', 41.25, 6, 'vip', 'away')",
+    "UPDATE users SET value = NULL, status = 'home' WHERE id = 'u8'",
+    "INC users.points BY 12 WHERE id = 'u8'",
+    "DEC users.points BY 7 WHERE id = 'u8'",
+    "ADD 'night' TO users.tags WHERE id = 'u8'",
+    "REMOVE 'vip' FROM users.tags WHERE id = 'u8'",
+    "DELETE FROM users WHERE id = 'u9'",
 )
 
 
-@_query("""SELECT * FROM (VALUES (1, 'row_exists', NULL, 't1'), (2, 'cell_lww', 'value', 't1'), (3, 'cell_counter', 'points', 't1'), (4, 'cell_or_set_add', 'tags', 't1'), (5, 'cell_mv_register', 'status', 't1'),
-    (6, 'row_exists', NULL, 't1'), (7, 'cell_lww', 'value', 't1'), (8, 'cell_mv_register', 'status', 't1'), (9, 'row_exists', NULL, 't1'), (10, 'cell_counter', 'points', 't1'), (11, 'row_exists', NULL, 't1'), (12, 'cell_counter', 'points', 't1'),
-    (13, 'row_exists', NULL, 't1'), (14, 'cell_or_set_add', 'tags', 't1'), (15, 'row_exists', NULL, 't1'), (16, 'cell_or_set_remove', 'tags', 't1'), (17, 'row_exists', NULL, 't2')) AS o(counter, kind, col, key_id)""")
+@_query("""SELECT * FROM (VALUES (1, 'row_exists', NULL, 'u8'), (2, 'cell_lww', 'value', 'u8'), (3, 'cell_counter', 'points', 'u8'), (4, 'cell_or_set_add', 'tags', 'u8'), (5, 'cell_mv_register', 'status', 'u8'),
+    (6, 'row_exists', NULL, 'u8'), (7, 'cell_lww', 'value', 'u8'), (8, 'cell_mv_register', 'status', 'u8'), (9, 'row_exists', NULL, 'u8'), (10, 'cell_counter', 'points', 'u8'), (11, 'row_exists', NULL, 'u8'), (12, 'cell_counter', 'points', 'u8'),
+    (13, 'row_exists', NULL, 'u8'), (14, 'cell_or_set_add', 'tags', 'u8'), (15, 'row_exists', NULL, 'u8'), (16, 'cell_or_set_remove', 'tags', 'u8'), (17, 'row_exists', NULL, 'u9')) AS o(counter, kind, col, key_id)""")
 def statement_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the write statements turn into."""
     ticks = iter(range(1, 10_000))

@@ -83,7 +83,7 @@ class Replica:
         """The cells of a planned SELECT: a route prunes the snapshot's partitions."""
         if self.snapshots is None or self.data is None or plan.route is None or plan.partition_by is None:
             return self.cells()
-        return self.snapshots.routed(self.spark, self.operations(), plan.table, plan.route, self.data)
+        return self.snapshots.routed(self.spark, self.operations(), plan.table, T.partition_of_value(plan.value), self.data)
 
     def schemas(self) -> Schemas:
         """Schemas derived from the merged information_schema."""
@@ -91,7 +91,7 @@ class Replica:
             cells = self.cells().where(F.col("tbl").isin(TABLES, COLUMNS))
             rows = {}
             for t in (TABLES, COLUMNS):  # one row per table and per column
-                rows[t] = [r.asDict() for r in T.gold(cells, t, INFORMATION_SCHEMA[t]).collect()]
+                rows[t] = [r.asDict() for r in T.gold(cells, t, catalog.DERIVED_FROM[t]).collect()]
             found = catalog.derived(rows[TABLES], rows[COLUMNS])
             if not found and self.snapshots is not None:
                 found = self.snapshots.schemas()
