@@ -4,12 +4,71 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import substring_dedup, suffix_array_dedup
+from tidemark.llm import sparse_suffix as P
 from tidemark.llm.shared import words_of
 
 
+def shared(a, b):
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_blocks_factors_and_nodes():
+    """Suffix order, common prefixes, longest previous factors and tree nodes against
+    all pairs of suffixes."""
+    rng = random.Random(1)
+    for t in range(120):
+        length = rng.randint(1, 12)
+        seqs = [bytes(rng.choice(b"ab") for _ in range(rng.randint(length, length + 25))) for _ in range(rng.randint(1, 9))]
+        seqs += [seqs[0]] * 2 * (t % 3 == 0)
+        arrays = [np.frombuffer(s, dtype=np.uint8) if t % 2 else np.frombuffer(s, dtype=np.uint8).astype(np.uint64) * 7 for s in seqs]
+        block = P.Block(arrays, length)
+        suffixes = [s[i:] for s in seqs for i in range(len(s) - length + 1)]
+        assert sorted(block.order.tolist()) == list(range(len(suffixes)))
+        for r in range(1, len(suffixes)):
+            a, b = suffixes[block.order[r - 1]], suffixes[block.order[r]]
+            assert a[:length] <= b[:length]
+            assert block.common[r] == shared(a, b) or length <= block.common[r] <= shared(a, b)
+        factors = suffix_array_dedup.longest_factors(block.order, block.common, length)
+        for i, s in enumerate(suffixes):
+            longest = max((shared(s, suffixes[j]) for j in range(i)), default=0)
+            assert (factors[i] > 0) == (longest >= length) and factors[i] <= longest
+        first, last, depth = substring_dedup.deep_nodes(block.common, length)
+        nodes = defaultdict(list)
+        for i, s in enumerate(suffixes):
+            nodes[s[:length]].append(i)
+        assert sorted(sorted(block.order[x:y].tolist()) for x, y in zip(first, last)) == sorted(v for v in nodes.values() if len(v) > 1)
+        assert all(d >= length and len({suffixes[i][:d] for i in block.order[x:y]}) == 1 for x, y, d in zip(first, last, depth))
+
+
+def test_word_ids():
+    texts = ["a b  c", None, "", "  x", "y ", "word " * 300 + "z" * 2000, " \t\n\x0b\x0c\rq\x1cé ü k", "end"]
+    for own in (texts, ["x"], [""], [None], ["", "a"], ["a", "", "b"], []):
+        ids, sizes = substring_dedup.word_ids(pa.array(own, pa.string()))
+        words = [w for t in own for w in words_of(t or "")]
+        assert sizes.tolist() == [len(words_of(t or "")) for t in own]
+        assert len(set(zip(words, ids.tolist()))) == len(set(words)) == len(set(ids.tolist()))
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    """Anchors do not depend on where a long text is cut, and windows at a cut are kept."""
+    rng = random.Random(3)
+    text = np.array([rng.randrange(3) for _ in range(3000)], dtype=np.uint8)
+    shape = P.Shape(20, 10, 1)
+    windows = lambda found: {(k, f + j, o - j) for _, k, _, f, n, o in zip(*(x.tolist() for x in found)) for j in range(n)}
+    whole = windows(P.anchors(text, np.array([3000]), shape))
+    assert len(whole) == 2981
+    for piece in (64, 500, 2980, 2981):
+        monkeypatch.setattr(P, "PIECE", piece)
+        P.powers.cache_clear()
+        assert windows(P.anchors(text, np.array([3000]), shape)) == whole
+    P.powers.cache_clear()
+
+
 def brute_bytes(rows, length, keep):
     seen, count = set(), Counter()
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0]))
@@ -71,8 +130,7 @@ def corpus(seed, sep):
     return rows
 
 
-@pytest.mark.parametrize("keep", ["none", "first"])
-@pytest.mark.parametrize("group_limit", [3, 10_000])
+@pytest.mark.parametrize("keep, group_limit", [("none", 3), ("first", 3), ("none", 10_000)])
 def test_suffix_array(spark, keep, group_limit):
     rows = corpus(1, " ")
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, key string, n int").repartition(5)
