@@ -4,7 +4,8 @@ A batch's distinct pre-tokens lie end to end in one array of symbols.  In each
 round every pre-token looks up the ranks of its neighbouring pairs, finds its
 own lowest, and merges all occurrences of that pair; all pre-tokens do so at
 once.  A pre-token leaves the arrays when none of its pairs has a rank; what is
-left of it are its tokens.
+left of it are its tokens.  A very long pre-token has arrays of its own, in which a
+round finds the lowest pair's places without going through the rest.
 
 Defined results: a null text counts as the empty text (0 bytes, 0 tokens).
 Special strings of the vocabulary inside a text count one token each, as the
@@ -14,6 +15,7 @@ named are ignored.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import unicodedata
@@ -31,6 +33,8 @@ from tidemark.llm.shared import row_slices
 CACHE_ENTRIES = 250_000
 #: Bytes of new pre-tokens merged at once.
 MERGE_BYTES = 1 << 20
+#: Pre-tokens of more characters are merged by themselves.
+LONG_PIECE = 2_000
 #: Below U+0250, but for three digits and three fractions that are no decimals and
 #: four separators, re's classes are those of the pattern, and re is the faster one.
 _NOT_PLAIN = re.compile("[^\\x00-\\x1b\\x20-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u024f]")
@@ -149,9 +153,60 @@ class PairMerger:
             who = who[going]
         return out
 
+    def long_length(self, piece: bytes) -> int:
+        """How many symbols are left of one long piece.  Places of a pair are kept by its
+        rank, so that a round, which merges all places of the lowest rank, costs no more
+        than these; the arrays are linked, not packed."""
+        raw = np.frombuffer(piece, dtype=np.uint8)
+        n = len(raw)
+        sym = np.append(self.byte_ids[raw], -1)  # the last one is no symbol
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        rank = np.append(self.byte_pairs[raw[:-1], raw[1:]], [_NO_RANK, _NO_RANK])  # of the pair that begins here
+        places: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def keep(at: np.ndarray) -> None:
+            at = at[rank[at] < _NO_RANK]
+            at = at[np.argsort(rank[at], kind="stable")]
+            cuts = np.flatnonzero(np.diff(rank[at], prepend=-1))
+            for r, own in zip(rank[at[cuts]].tolist(), np.split(at, cuts[1:]), strict=False):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(heap, r)
+                places[r].append(own)
+
+        if n > 1:
+            keep(np.arange(n - 1))
+        left = n
+        while heap:
+            r = heapq.heappop(heap)
+            hits = np.unique(np.concatenate(places.pop(r)))
+            hits = hits[rank[hits] == r]
+            if not len(hits):
+                continue
+            # in a run such as "aaa" the pairs overlap; every second one is merged, from the left
+            fresh = np.ones(len(hits), dtype=bool)
+            fresh[1:] = after[hits[:-1]] != hits[1:]
+            k = np.arange(len(hits))
+            hits = hits[(k - np.maximum.accumulate(np.where(fresh, k, 0))) % 2 == 0]
+            gone = after[hits]
+            sym[hits] = self.made[r]
+            rank[gone] = _NO_RANK
+            after[hits] = after[gone]
+            before[after[gone]] = hits
+            left -= len(hits)
+            changed = np.unique(np.concatenate([hits, before[hits]]))
+            changed = changed[changed >= 0]
+            new = np.where(after[changed] < n, self.ranks(sym[changed], sym[np.minimum(after[changed], n)]), _NO_RANK)
+            rank[changed] = new
+            keep(changed)
+        return left
+
     def _learn(self, new: list[str]) -> None:
         if len(self.cache) + len(new) > CACHE_ENTRIES:
             self.cache.clear()
+        self.cache.update((p, self.long_length(p.encode("utf-8"))) for p in new if len(p) > LONG_PIECE)
+        new = [p for p in new if len(p) <= LONG_PIECE]
         chunk, size = [], 0
         for i, piece in enumerate(new):
             chunk.append(piece)
