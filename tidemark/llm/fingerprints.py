@@ -3,7 +3,9 @@
 A rolling hash of the last seven bytes ends a chunk wherever it hits a trigger value
 for the block size; every chunk's hash gives one of 64 characters.  Triggers of a
 block size are triggers of half of it too.  The block size is the largest for which
-the text has at least ``MIN_CHUNKS`` chunks, and the fingerprint holds the signatures
+the text has at least ``MIN_CHUNKS`` triggers, or the next one where these are more than
+``MAX_CHUNKS``, as in repetitive texts, so that signatures are bounded whatever the text;
+the fingerprint holds the signatures
 at that size and at the next: ``size:signature:signature of twice the size``.
 Fingerprints are compared by edit distance (insertions and deletions) between
 signatures of one block size, provided that they share a run of characters.
@@ -30,6 +32,7 @@ from tidemark.llm.shared import mix64, written
 
 SMALLEST = 3
 MIN_CHUNKS = 32
+MAX_CHUNKS = 256
 RUN = 4
 _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", dtype=np.uint8)
 _VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)).astype(np.uint32)
@@ -94,6 +97,8 @@ def fingerprint(text: str) -> str:
     k = 0
     while int((strength >= k + 1).sum()) >= MIN_CHUNKS:
         k += 1
+    if int((strength >= k).sum()) > MAX_CHUNKS:  # all but the same window again and again: the next size has few
+        k += 1
     ends = hit + 1
     return f"{SMALLEST << k}:{_signature(ends[strength >= k], sums, n)}:{_signature(ends[strength >= k + 1], sums, n)}"
 
