@@ -23,7 +23,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import written
+from tidemark.llm.shared import heavy_join, written
 
 #: The listed rules: host, path, verdict.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -103,8 +103,14 @@ def verdicts(pages: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, mi
     if mined.count() <= BROADCAST_RULES:
         index = F.broadcast(index)
     # the same token set gets the same verdict: match each distinct one once
-    sets = judged.where("listed is null").groupBy("tokens").agg(F.count("*").alias("n"))
-    hits = sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("needs", "tokens")) == 0)
-    best = hits.groupBy("tokens").agg(F.max(F.struct("confidence", F.col("label") == "allow", "needs", "label")).alias("best"))
-    out = judged.join(best, "tokens", "left")
-    return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("listed", "best.label", F.lit("allow")).alias("verdict"), F.when(F.col("listed").isNull(), F.col("best.confidence")).alias("confidence"), F.when(F.col("listed").isNull(), F.col("best.needs")).alias("matched"))
+    is_open = F.col("listed").isNull() & (F.size("tokens") > 0)
+    sets = judged.where(is_open).groupBy("tokens").agg(F.count("*").alias("weight"))
+    hits = sets.select("tokens", "weight", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("needs", "tokens")) == 0)
+    best = written(hits.groupBy("tokens").agg(F.first("weight").alias("weight"), F.max(F.struct("confidence", F.col("label") == "allow", "needs", "label")).alias("best")))
+    # sets without a match are joined as well, so that no row is lost
+    every = written(sets.join(best.drop("weight"), "tokens", "left"))
+    matched = heavy_join(judged.where(is_open), every, ["tokens"])
+    columns = [F.col("id").alias(id_col), "host", "path", "rule"]
+    mined_out = matched.select(*columns, F.coalesce("best.label", F.lit("allow")).alias("verdict"), F.col("best.confidence").alias("confidence"), F.col("best.needs").alias("matched"))
+    rest = judged.where(~is_open).select(*columns, F.coalesce("listed", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("array<string>").alias("matched"))
+    return mined_out.unionByName(rest)
