@@ -66,6 +66,14 @@ def heavy_join(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(heavy, keys).unionByName(rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """With the id itself, tells rows apart; rows equal in both columns may share it."""
     return F.xxhash64(F.col(text_col), F.col(id_col))
