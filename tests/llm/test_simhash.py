@@ -90,5 +90,65 @@ def test_near_duplicates(spark):
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    kept = S.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(r.doc_id for r in kept) == sorted({w[2] for w in want})
+
+
+def shingle_set(text):
+    w = words_of("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or (frozenset([tuple(w)]) if w else frozenset())
+
+
+def jaccard(a, b):
+    return 1.0 if a == b else len(a & b) / len(a | b)
+
+
+def near_rows():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgÉZ") for _ in range(rng.randint(2, 7)))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(0, 60)))) for i in range(30)]
+    for base, changes in ((100, 1), (200, 3), (300, 30)):  # similar by some 0.97, 0.92 and 0.3
+        text = [word() for _ in range(300)]
+        for i in range(12):
+            w = list(text)
+            for k in range(changes * (i > 0)):
+                w[(37 * i + 97 * k) % 300] = word()
+            rows.append((base + i, "  ".join(w) if i % 2 else "\n".join(w)))
+    rows += [(60, None), (61, ""), (62, " \t"), (63, rows[3][1].upper().replace("É", "É")), (None, rows[3][1]), (3, rows[3][1]), (70, "one two"), (71, "one  two"), (72, "one two three")]
+    return rows
+
+
+def test_one_of_each(spark):
+    rows = near_rows()
+    kept = S.one_of_each(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, words int, v int"))
+    assert kept.columns == ["doc_id", "text", "words", "v"]
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
+    sets = [shingle_set(t) for _, t in rows]
+    root = roots(len(rows), lambda i, j: jaccard(sets[i], sets[j]) >= 0.8)
+    want = sorted({min((rows[j][0] is None, rows[j][0] or 0) for j, r in enumerate(root) if r == root[i]) for i in range(len(rows))})
+    assert got == want and len([i for _, i in got if i >= 300]) == 12
+    assert S.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_shorter_fingerprints_meet():
+    """The stage's reach: pairs at a similarity of 0.9 meet, of 0.8 most do."""
+    rng = np.random.default_rng(1)
+    salts = S.mix64(np.arange(1, S.TABLES * S.TABLE_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def words(h):
+        return (2 * np.unpackbits(S.mix64(h[:, None] ^ salts[None, :]).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint32) > len(h)).reshape(S.TABLES, S.TABLE_BITS)
+
+    for similarity, least in ((0.9, 0.95), (0.8, 0.5)):
+        met = 0
+        for _ in range(200):
+            n = 300
+            same = round(2 * similarity / (1 + similarity) * n)
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            b = np.concatenate([a[:same], rng.integers(0, 1 << 63, n - same, dtype=np.uint64)])
+            met += (words(a) != words(b)).sum(axis=1).min() <= S.RADIUS
+        assert met / 200 >= least
+
+
+def test_leading_bits_grow():
+    assert S.lead_bits_for(1000, 2) == S.LEAD_BITS
+    for n in (10**6, 10**9, 10**11):
+        b = S.lead_bits_for(n, 2)
+        assert n * len(S._flips(b, 2)) <= S.GATHERED << b

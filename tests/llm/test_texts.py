@@ -66,6 +66,20 @@ def test_merges_lowest_rank_first():
     assert model.merged_lengths(pieces).tolist() == [slow(p) for p in pieces]
 
 
+def test_long_pre_tokens():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, model = Tokenizer.from_file(path), token_counts.PairMerger(path)
+    rng = random.Random(6)
+    for n, letters in ((1, "a"), (2, "ab"), (700, "aab"), (2_500, "abcdefghijklmnopqrstuvwxyz"), (5_000, "a"), (60_000, "théing"), (1_000_000, "etaoinshrdlu")):
+        text = "".join(rng.choice(letters) for _ in range(n))
+        want = len(lib.encode(text, add_special_tokens=False).ids)
+        assert model.counts([text]) == [want]
+        if n < 5_000:
+            assert model.long_length(text.encode()) == want == model.merged_lengths([text.encode()])[0]
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
@@ -206,6 +220,88 @@ def test_fingerprints(spark):
     assert fingerprints.with_next(docs.limit(0)).count() == 0
 
 
+def slow_fingerprint(text):
+    """The same signatures byte by byte."""
+    fp, raw, mask = fingerprints, text.encode("utf-8"), (1 << 64) - 1
+    mix = lambda x: int(fp.mix64(np.array([x], dtype=np.uint64))[0])
+    value = [mix((b + 1) * 0xD1B54A32D192ED03 & mask) & 0xFFFFFFFF for b in range(256)]
+    strengths = {}
+    for i in range(len(raw)):
+        h = sum(value[raw[i - k]] * pow(0x01000193, k, 1 << 32) for k in range(7) if i - k >= 0) & 0xFFFFFFFF
+        h ^= h >> 15
+        h = h * 0x2C1B3C6D & 0xFFFFFFFF
+        h ^= h >> 12
+        if h % fp.SMALLEST == fp.SMALLEST - 1:
+            q, k = h // fp.SMALLEST, 0
+            while q >> k & 1 and k < 30:
+                k += 1
+            strengths[i + 1] = k
+    many = lambda k: sum(x >= k for x in strengths.values())
+    k = 0
+    while many(k + 1) >= fp.MIN_CHUNKS:
+        k += 1
+    k += many(k) > fp.MAX_CHUNKS
+
+    def signature(k):
+        ends = sorted(e for e, x in strengths.items() if x >= k)
+        ends += [len(raw)] if raw and (not ends or ends[-1] != len(raw)) else []
+        out, at = "", 0
+        for e in ends if raw else []:
+            h = sum((b + 1) * pow(fp._BASE, i, 1 << 64) for i, b in enumerate(raw[at:e])) + e - at & mask
+            out += chr(fp._ALPHABET[mix(h) >> 58])
+            at = e
+        return out
+
+    return f"{fp.SMALLEST << k}:{signature(k)}:{signature(k + 1)}"
+
+
+def slow_likeness(a, b):
+    def common(x, y):
+        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, p in enumerate(x):
+            for j, q in enumerate(y):
+                table[i + 1][j + 1] = table[i][j] + 1 if p == q else max(table[i][j + 1], table[i + 1][j])
+        return table[-1][-1]
+
+    if a == b:
+        return 1.0
+    (n, *x), (m, *y) = ((int(p[0]), *p[1:]) for p in (a.split(":"), b.split(":")))
+    best = 0.0
+    for i in (0, 1):
+        for j in (0, 1):
+            p, q = x[i], y[j]
+            if n << i == m << j and any(p[k : k + 4] in q for k in range(len(p) - 3)):
+                best = max(best, 2 * common(p, q) / (len(p) + len(q)))
+    return best
+
+
+def test_fingerprints_against_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghéß🙂") for _ in range(rng.randint(1, 8)))
+    texts = [" ".join(word() for _ in range(n)) for n in (0, 1, 3, 40, 400, 900)] + ["c" * 3000, "ab" * 900, "a phrase again. " * 150]
+    texts += [texts[4][:900] + "CHANGED" + texts[4][900:], texts[5] + texts[4]]
+    assert [fingerprints.fingerprint(t) for t in texts] == [slow_fingerprint(t) for t in texts]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for i, t in rows:
+        after = texts[(i + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        a, e, n = slow_fingerprint(t), slow_fingerprint(edited), slow_fingerprint(after)
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) == (a, e, slow_likeness(a, e), slow_likeness(a, n))
+
+
+def test_signatures_are_bounded():
+    import time
+
+    began = time.time()
+    for text in ("c" * 5_000_000, "ab" * 50_000, "the same phrase once more; " * 180_000, "x\n" * 400_000):
+        one, two = fingerprints.fingerprint(text), fingerprints.fingerprint(text + "tail")
+        assert all(len(x) <= fingerprints.MAX_CHUNKS + 1 for fp in (one, two) for x in fp.split(":")[1:])
+        assert fingerprints.likeness(one, one) == 1 and 0 <= fingerprints.likeness(one, two) <= 1
+    assert time.time() - began < 30
+
+
 def brute_lines(rows):
     key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(SPACE_CHARS))
     holders = {}
@@ -235,13 +331,25 @@ def test_line_dedup(spark, batches, fanout):
 
 
 def test_line_runs(spark):
+    """Keys are in one run at most; what is seen again is counted as an update."""
     runs = line_dedup.LineRuns(fanout=2)
     batch = lambda *k: spark.createDataFrame([(i, x.encode()) for i, x in enumerate(k)], "id long, key binary")
-    for keys in (("a", "b"), ("b", "c"), ("d",)):
-        assert {bytes(r.key).decode() for r in runs.unseen(batch(*keys, "new")).collect()} - {"new"} == set(keys) - ({"b"} if keys[0] == "b" else set())
-        runs.add(batch(*keys))
-    assert [len(level) for level in runs.levels] == [1, 1]
-    assert {bytes(r.key).decode(): r.n for r in runs.totals().collect()} == {"a": 1, "b": 2, "c": 1, "d": 1}
+    keys = lambda df: sorted(bytes(r.key).decode() for r in df.collect())
+    for own, new in ((("a", "b"), ["a", "b"]), (("b", "c", "b"), ["c"]), (("d", "a"), ["d"]), (("a", "c", "e"), ["e"])):
+        assert keys(runs.unseen(batch(*own)).where("seen is null").select("key").distinct()) == new
+        runs.add(batch(*own))
+        held = [k for run in runs.runs() for k in keys(run)]
+        assert len(held) == len(set(held))
+    assert [len(level) for level in runs.levels] == [0, 0, 1] and [len(level) for level in runs.updates] == [1, 1]
+    assert {bytes(r.key).decode(): (r.n, r.last) for r in runs.totals().collect()} == {"a": (3, 1), "b": (3, 2), "c": (2, 1), "d": (1, 0), "e": (1, 2)}
+
+
+def test_line_dedup_goes_through_the_runs(spark, monkeypatch):
+    asked, unseen = [], line_dedup.LineRuns.unseen
+    monkeypatch.setattr(line_dedup.LineRuns, "unseen", lambda self, lines: asked.append(len(self.runs())) or unseen(self, lines))
+    docs = spark.createDataFrame([(i, f"the very same line of text\nline of its own, number {i}") for i in range(30)], "doc_id long, text string")
+    got = line_dedup.drop_shared_lines(docs).collect()
+    assert sum(r.line_dedup.n_dropped for r in got) == 29 and len(asked) == line_dedup.BATCHES and max(asked) >= 2
 
 
 def test_decontamination(spark):
@@ -272,6 +380,12 @@ def test_decontamination(spark):
     for limit in (0, 1000):
         got = [(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontamination.contaminated(ddf, idf, broadcast_rows=limit).collect()]
         assert set(got) == want and len(got) == len(want) and len(want) > 10
+    # every size partition finds its own items, with its own cut
+    for low, high in ((0, 2), (2, 8), (8, 40)):
+        some = [(i, x) for i, x in items if low <= len(norm(x)) < high]
+        if some:
+            part = decontamination.contaminated(ddf, spark.createDataFrame(some, "item_id long, text string")).collect()
+            assert {(r.doc_id, r.item_id) for r in part} == {(d, i) for d, i, _, q in want if any(i == j and q == len(sh(norm(x), min(5, len(norm(x))))) for j, x in some)}
     left = decontamination.without_leaks(ddf, idf)
     assert left.columns == ddf.columns
     bad = {d for d, *_ in want}
@@ -337,8 +451,11 @@ def test_pipeline(spark):
     assert left.columns == docs.columns and left.count() == docs.count()
     want = {(i, sha) for i, _, _, sha in brute_lines([(r.doc_id, r.text) for r in docs.collect()])}
     assert {(r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in left.collect()} == want
+    # columns that stages use inside, empty tables, and rows that are repeated
+    clash = odd_docs(spark).select(*P.COLUMNS).withColumns({c: F.lit(7) for c in ("_score", "_row", "_gone_id", "_gone_keys", "line_dedup", "_leak_id", "_leak_row", "_lead_id", "_lead_row", "row", "words", "v")})
     for _, stage in P.STAGES[:-1]:
-        assert stage(spark, odd_docs(spark).select(*P.COLUMNS), SF).columns == P.COLUMNS
+        got = stage(spark, clash, SF)
+        assert got.columns == clash.columns and got.select("_row", "line_dedup", "v").distinct().collect() == [(7, 7, 7)]
     out = P.run(spark, SF)
     assert {"doc_id", "source", "size", "target", "taken"} <= set(out.columns) and 0 < out.count() < docs.count()
 

@@ -7,13 +7,19 @@ brought together, and those that two fingerprints share link them.
 A variant is shuffled by its leading bits, not one by one: a fingerprint goes once
 to each leading pattern within r bits of its own, with the number of bits left, and
 the variants of that pattern are spelt out where they are compared.  That is the
-same set of variants in a fraction of the shuffled rows.  Within a task the
+same set of variants in a fraction of the shuffled rows.  The bits are as many as it
+takes for a pattern to gather a bounded number of fingerprints, whatever their number.  Within a task the
 patterns are split by further bits until the variants fit in a block of bounded
 size, and each block is sorted.  All fingerprints of one variant lie within r bits
 of it, hence within 2r of each other, so a star to the first of them keeps every
 link's connection without listing all pairs of a group; the distance is verified
 all the same.  Components are found by contraction on the executors.
 
+``one_of_each``, for stages, looks for texts that share 0.8 or more of their shingles of
+five words: at that similarity 64 bits differ in some ten places, beyond any ball, so
+several shorter fingerprints are ball-hashed alike, and pairs that meet are verified by
+their shingles.
+
 Defined results: a null or empty text has fingerprint zero; rows with equal
 fingerprints are linked whatever their number; a null id is never the smallest, and
 a component of null ids only has a null component_id.  Other columns are ignored.
@@ -26,19 +32,29 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import lower_ascii, row_key, row_slices, words_of, written
+from tidemark.llm.shared import heavy_join, lower_ascii, mix64, row_key, row_slices, unused, words_of, written
+from tidemark.llm.substring_dedup import word_ids
 
 BITS = 64
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-#: Leading bits by which variants are shuffled.
+#: Fewest leading bits by which variants are shuffled.
 LEAD_BITS = 8
+#: Fingerprints that one pattern of leading bits gathers, on the average at most.
+GATHERED = 1 << 16
+#: Near-duplicates for stages: words of a shingle, least Jaccard similarity, and the tables of
+#: shorter fingerprints, one of which has to bring two texts together.
+NEAR_SHINGLE = 5
+SIMILARITY = 0.8
+TABLES = 8
+TABLE_BITS = 48
 #: Variants sorted at once.
 BLOCK = 1 << 21
 
@@ -140,12 +156,27 @@ def _local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v[far], v[root[far]]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, lead_bits: int = LEAD_BITS) -> DataFrame:
+def lead_bits_for(n: int, half: int) -> int:
+    """The fewest leading bits with which a pattern gathers :data:`GATHERED` of ``n``
+    fingerprints on the average."""
+    bits = LEAD_BITS
+    while bits < BITS // 2 and n * len(_flips(bits, half)) > GATHERED << bits:
+        bits += 1
+    return bits
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, lead_bits: int | None = None, bits: int = BITS, tables: int = 1, forest: bool = True) -> DataFrame:
     """(a, b): edges whose components are those of all pairs of ``distinct`` (column fp)
-    with at most ``radius`` differing bits.  ``radius`` is even and at most 4."""
+    with at most ``radius`` differing bits.  ``radius`` is even and at most 4.
+
+    Fingerprints have ``bits`` bits; what is above is the number of one of ``tables``, which
+    do not meet.  Without ``forest`` all edges that stars have come, not only as many as it
+    takes to connect them."""
     if radius not in (2, 4):
         raise ValueError("radius must be 2 or 4")
-    half, low = radius // 2, BITS - lead_bits
+    half = radius // 2
+    lead_bits = lead_bits or lead_bits_for(distinct.count() // tables, half)
+    low = bits - lead_bits
     flips = _flips(lead_bits, half)
     spent = np.array([bin(int(f)).count("1") for f in flips], dtype=np.int8)
 
@@ -165,7 +196,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, lead_bits: int = LEAD_BITS)
                 a.append(x[near])
                 b.append(y[near])
             if a:
-                x, y = _local_roots(np.concatenate(a), np.concatenate(b))
+                x, y = np.concatenate(a), np.concatenate(b)
+                if forest:
+                    x, y = _local_roots(x, y)
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
 
         held: list[pa.RecordBatch] = []
@@ -188,9 +221,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, lead_bits: int = LEAD_BITS)
 def _rooted(fps: DataFrame, radius: int, id_col: str) -> DataFrame:
     """(fp, lead, root): of each distinct fingerprint the first row, and its component."""
     lead = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "row"))
-    classes = fps.groupBy("fp").agg(lead.alias("lead"))
+    classes = written(fps.groupBy("fp").agg(lead.alias("lead"), F.count("*").alias("weight")))
     roots = components(links(classes, radius))
-    return written(classes.join(roots, classes["fp"] == roots["v"], "left").select("fp", "lead", F.coalesce("root", "fp").alias("root")))
+    return written(classes.join(roots, classes["fp"] == roots["v"], "left").select("fp", "lead", "weight", F.coalesce("root", "fp").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,18 +232,101 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE,
     fps = written(fingerprints(docs, width, id_col, text_col))
     rooted = _rooted(fps, radius, id_col)
     least = rooted.groupBy("root").agg(F.min("lead.id").alias("component_id"))
-    of_class = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(of_class, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_class = written(rooted.join(least, "root").select("fp", "component_id", "weight"))
+    return heavy_join(fps, of_class, ["fp"]).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
-    """The documents without near-duplicates: of each component one row stays, that with
-    the smallest doc_id (null last; rows of one id in the order of their row keys)."""
-    fps = written(fingerprints(docs, width))
-    leads = _rooted(fps, radius, "doc_id").groupBy("root").agg(F.min("lead").alias("lead")).select(F.col("lead.id").alias("_lead_id"), F.col("lead.row").alias("_lead_row"))
-    keyed = docs.withColumn("_row", row_key())
-    left = keyed.join(leads, keyed["doc_id"].eqNullSafe(leads["_lead_id"]) & (keyed["_row"] == leads["_lead_row"]), "left_semi")
+def _kept(docs: DataFrame, fps: DataFrame, leads: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``leads`` (lead: none, id, row) names, each once."""
+    lead_id, lead_row, own = (unused(docs, c) for c in ("_lead_id", "_lead_row", "_row"))
+    leads = leads.select(F.col("lead.id").alias(lead_id), F.col("lead.row").alias(lead_row))
+    keyed = docs.withColumn(own, row_key())
+    left = keyed.join(leads, keyed["doc_id"].eqNullSafe(leads[lead_id]) & (keyed[own] == leads[lead_row]), "left_semi")
     # texts are only shuffled again where some row is repeated as it is
     if not fps.groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        left = left.dropDuplicates(["doc_id", "_row"])
-    return left.drop("_row")
+        left = left.dropDuplicates(["doc_id", own])
+    return left.drop(own)
+
+
+def _shingles(column: pa.Array, width: int) -> list[np.ndarray]:
+    """64-bit hashes of each text's word shingles, A-Z lower-cased, repeats included; texts
+    of fewer words have one of all their words."""
+    ids, sizes = word_ids(pc.ascii_lower(column))
+    out = []
+    for own in np.split(ids, np.cumsum(sizes)[:-1]):
+        n = max(min(len(own), 1), len(own) - width + 1)
+        h = np.zeros(n, dtype=np.uint64)
+        for j in range(min(width, len(own))):
+            h = mix64(h * np.uint64(3) + own[j : j + n])
+        out.append(h)
+    return out
+
+
+def signatures(docs: DataFrame, width: int = NEAR_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, words, row): :data:`TABLES` SimHash fingerprints of :data:`TABLE_BITS` bits by
+    independent hashes, each with the number of its table above."""
+    n_words = TABLES * TABLE_BITS // 64
+    salts = mix64(np.arange(1, n_words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    scale = np.left_shift(np.uint64(1), np.arange(TABLE_BITS, dtype=np.uint64))
+    table = np.arange(TABLES, dtype=np.uint64) << np.uint64(TABLE_BITS)
+
+    def one(h: np.ndarray) -> np.ndarray:
+        ones = np.zeros(TABLES * TABLE_BITS, dtype=np.int64)
+        for at in range(0, len(h), 1 << 14):
+            part = mix64(h[at : at + (1 << 14), None] ^ salts[None, :])
+            ones += np.unpackbits(part.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint32)
+        bits = (2 * ones > len(h)).reshape(TABLES, TABLE_BITS)
+        return (bits * scale).sum(axis=1, dtype=np.uint64) | table
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in row_slices(batches):
+            words = [one(h) for h in _shingles(part.column(1), width)]
+            flat = np.concatenate(words).view(np.int64) if words else np.zeros(0, dtype=np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, TABLES, dtype=np.int32), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists, part.column(2)], [id_col, "words", "row"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col, row_key(id_col, text_col).alias("row")).mapInArrow(run, f"`{id_col}` {kind}, words array<long>, row long")
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(v, own): the distinct shingle hashes of each text (v, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in row_slices(batches):
+            own = [np.unique(h).view(np.int64) for h in _shingles(part.column(1), width)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int64()))], ["v", "own"])
+
+    return texts.select("v", "text").mapInArrow(run, "v long, own array<long>")
+
+
+def one_of_each(docs: DataFrame, width: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents without near-duplicates: of each group one row stays, that with the
+    smallest doc_id (null last; rows of one id in the order of their row keys).
+
+    Texts with equal signatures are one class.  The first texts of two classes are linked
+    if they share at least ``similarity`` of their distinct shingles (Jaccard, verified)
+    and, in one table at least, their fingerprints meet within :data:`RADIUS` bits.  Groups
+    are connected classes.  Texts without words are one class.
+    """
+    fps = written(signatures(docs, width))
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row"))
+    classes = written(fps.groupBy("words").agg(lead.alias("lead")).select(F.xxhash64("words").alias("v"), "words", "lead"))
+    places = written(classes.select("v", F.explode("words").alias("fp")))
+    first = written(places.groupBy("fp").agg(F.min("v").alias("b"), F.count("*").alias("weight")))
+    same = heavy_join(places, first.where("weight > 1"), ["fp"]).select(F.col("v").alias("a"), "b")
+    met = written(links(first, RADIUS, bits=TABLE_BITS, tables=TABLES, forest=False).distinct())
+    other = met.join(first.select(F.col("fp").alias("a"), F.col("b").alias("va")), "a").join(first.select(F.col("fp").alias("b"), F.col("b").alias("vb")), "b").select(F.col("va").alias("a"), F.col("vb").alias("b"))
+    pairs = written(same.unionByName(other).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    wanted = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).groupBy("v").agg(F.count("*").alias("weight"))
+    named = classes.join(wanted, "v").select("v", "weight", F.col("lead.id").alias("_lead_id"), F.col("lead.row").alias("_lead_row"))
+    keyed = docs.select("doc_id", "text", row_key().alias("_row"))
+    texts = keyed.join(named, keyed["doc_id"].eqNullSafe(named["_lead_id"]) & (keyed["_row"] == named["_lead_row"])).select("v", "text").dropDuplicates(["v"])
+    sets = written(_sets(texts, width)).join(wanted, "v")
+    both = heavy_join(pairs, sets.select(F.col("v").alias("a"), F.col("own").alias("x"), "weight"), ["a"]).drop("weight")
+    both = heavy_join(both, sets.select(F.col("v").alias("b"), F.col("own").alias("y"), "weight"), ["b"])
+    shared = F.size(F.array_intersect("x", "y"))
+    alike = both.where(shared >= (F.size("x") + F.size("y") - shared) * F.lit(similarity - 1e-9)).select("a", "b")
+    roots = components(alike)
+    leads = classes.join(roots, "v", "left").groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("lead").alias("lead"))
+    return _kept(docs, fps, leads)

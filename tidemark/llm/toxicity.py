@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import mix64, row_slices, words_of
+from tidemark.llm.shared import mix64, row_slices, unused, words_of
 
 #: Labelled rows learnt from, half of them of either label.
 SAMPLE_ROWS = 8_000
@@ -238,8 +238,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
 _caches: dict[int, tuple[dict[str, float], dict[str, int]]] = {}
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` without the text but for it being first: (text, score, others)."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "_score") -> DataFrame:
+    """The columns of ``docs`` and ``score_col``, a name that they must not have."""
     others = [c for c in docs.columns if c != text_col]
     name = zlib.crc32(model.weight.tobytes())
 
@@ -249,18 +249,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         cache = _caches.setdefault(name, ({}, {}))
         for part in row_slices(batches):
             found = model.scores([t or "" for t in part.column(0).to_pylist()], cache)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], [text_col, *others, "_score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], [text_col, *others, score_col])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [text_col, *others])
-    return docs.select(text_col, *others).mapInArrow(run, f"{schema}, _score double").select(*docs.columns, "_score")
+    return docs.select(*(F.col(f"`{c}`") for c in [text_col, *others])).mapInArrow(run, f"{schema}, `{score_col}` double").select(*(F.col(f"`{c}`") for c in [*docs.columns, score_col]))
 
 
-def is_toxic(model: Model):
+def is_toxic(model: Model, score_col: str = "_score"):
     """Whether the model calls a scored row toxic; one that learnt nothing calls none so."""
-    return F.col("_score") >= 0.5 if model.trained else F.lit(False)
+    return F.col(score_col) >= 0.5 if model.trained else F.lit(False)
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the model does not call toxic."""
     model = train(docs, labels)
-    return score(docs, model).where(~is_toxic(model)).drop("_score") if model.trained else docs
+    name = unused(docs, "_score")
+    return score(docs, model, score_col=name).where(~is_toxic(model, name)).drop(name) if model.trained else docs
