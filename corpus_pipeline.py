@@ -10,9 +10,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, line_dedup, mixing, simhash_dedup, toxicity
-from tidemark.llm.shared import shared_folder
+from tidemark.llm.shared import shared_folder, unused
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,14 +26,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three documents or more hold stay in the last of them only; n_chars
     follows the text."""
-    from pyspark.sql import functions as F
-
-    left = line_dedup.drop_shared_lines(docs).drop("line_dedup")
+    info = unused(docs, "line_dedup")
+    left = line_dedup.drop_shared_lines(docs, info_col=info).drop(info)
     return left.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")) if "n_chars" in docs.columns else left
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of texts that share 0.8 or more of their shingles of five
+    words."""
     return simhash_dedup.one_of_each(docs)
 
 
@@ -54,8 +55,8 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: No SQL expresses the classifier, XXH64 or the seeded selection; tests compare the
-#: stages with brute force.
+#: No SQL expresses the classifier, the fingerprints or the seeded selection; tests compare
+#: the stages' operators with brute force, and the lines of a stage by itself.
 ORACLE_SQL = None
 
 
