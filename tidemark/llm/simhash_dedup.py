@@ -190,6 +190,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, lead_bits: int | None = Non
         def solve(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fps = np.concatenate([p.column(1).to_numpy() for p in parts]).view(np.uint64)
             left = np.concatenate([p.column(2).to_numpy() for p in parts]).astype(np.int64)
+            order = np.argsort(fps)  # a star's middle must not depend on the order of arrival
+            fps, left = fps[order], left[order]
             a, b = [], []
             for x, y in _met(fps, left, low):
                 near = np.bitwise_count(x ^ y) <= radius
