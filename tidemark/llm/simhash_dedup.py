@@ -46,7 +46,7 @@ SHINGLE = 4
 RADIUS = 4
 SEED = 42
 #: Fewest leading bits by which variants are shuffled.
-LEAD_BITS = 8
+LEAD_BITS = 4
 #: Fingerprints that one pattern of leading bits gathers, on the average at most.
 GATHERED = 1 << 16
 #: Near-duplicates for stages: words of a shingle, least Jaccard similarity, and the tables of
