@@ -152,3 +152,49 @@ def test_leading_bits_grow():
     for n in (10**6, 10**9, 10**11):
         b = S.lead_bits_for(n, 2)
         assert n * len(S._flips(b, 2)) <= S.GATHERED << b
+
+
+def rows_sent(links):
+    """Rows that the first of two mapInArrow nodes made, once ``links`` has run."""
+    links.collect()
+    made, nodes = [], [links._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name == "MapInArrow":
+            made.append(node.metrics().apply("pythonNumRowsReceived").value())
+        inner = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if name.endswith("QueryStage") else []
+        nodes += inner + [node.children().apply(i) for i in range(node.children().size())]
+    assert len(made) == 2
+    return made[-1]
+
+
+def test_rows_sent_grow_with_the_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(S, "GATHERED", 1024)
+    rng = random.Random(11)
+    fps = [(rng.getrandbits(63),) for _ in range(3300)]
+    few, many = (rows_sent(S.links(spark.createDataFrame(fps[:n], "fp long"), 4, bits=48, tables=1)) for n in (660, 3300))
+    assert few >= 660 and many <= 8 * few
+
+
+def test_links_that_differ_in_any_bits_are_whole(spark):
+    """Up to radius bits are dealt to the leading bits and both halves below in every way."""
+    rng = random.Random(13)
+    for radius, bits, lead_bits in ((4, 48, 9), (2, 48, 9), (4, 64, 5), (4, 48, 30)):
+        low = bits - lead_bits
+        fields = [range(low, bits), range(low // 2, low), range(low // 2)]
+        fps = set()
+        for parts in [(i, j, k) for i in range(radius + 2) for j in range(radius + 2) for k in range(radius + 2) if i + j + k in (radius, radius + 1)]:
+            x = rng.getrandbits(bits) | (rng.randrange(8) << bits if bits < 64 else 0)
+            y = x
+            for field, n in zip(fields, parts, strict=True):
+                for b in rng.sample(field, n):
+                    y ^= 1 << b
+            fps |= {x, y, x ^ 1 << 48} if bits < 64 else {x, y}  # tables do not meet
+        fps = sorted(fps)
+        distance = lambda i, j: bin(fps[i] ^ fps[j]).count("1") if bits == 64 or fps[i] >> bits == fps[j] >> bits else 64  # noqa: B023, E731
+        want = {frozenset((fps[i], fps[j])) for i in range(len(fps)) for j in range(i) if distance(i, j) <= radius}
+        df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
+        found = S.links(df, radius, lead_bits, bits=bits, tables=8 if bits < 64 else 1, forest=False).collect()
+        got = {frozenset(int(np.int64(f).view(np.uint64)) for f in (r.a, r.b)) for r in found}
+        assert got == want and len(want) >= 6

@@ -5,10 +5,14 @@ bits of both.  Every distinct fingerprint emits all its variants, variants are
 brought together, and those that two fingerprints share link them.
 
 A variant is shuffled by its leading bits, not one by one: a fingerprint goes once
-to each leading pattern within r bits of its own, with the number of bits left, and
-the variants of that pattern are spelt out where they are compared.  That is the
-same set of variants in a fraction of the shuffled rows.  The bits are as many as it
-takes for a pattern to gather a bounded number of fingerprints, whatever their number.  Within a task the
+to each leading pattern within r - 1 bits of its own, with the number of bits left,
+and the variants of that pattern are spelt out where they are compared.  That brings
+together all that differ in at most 2r - 2 leading bits.  Others differ in one of the
+bits below at most, so one half of these is equal in both: a fingerprint goes once to
+each half's own value, where the variants that leave this half as it is are spelt out.
+With b leading bits that makes b + 3 rows of a fingerprint for r = 2, and three for
+r = 1, of which b grows as the logarithm of their number: the bits are as many as it
+takes for a pattern to gather a bounded number of fingerprints.  Within a task the
 patterns are split by further bits until the variants fit in a block of bounded
 size, and each block is sorted.  All fingerprints of one variant lie within r bits
 of it, hence within 2r of each other, so a star to the first of them keeps every
@@ -103,31 +107,34 @@ def _flips(bits: int, most: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(most + 1) for c in combinations(range(bits), k)], dtype=np.uint64)
 
 
-def _met(fps: np.ndarray, left: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _met(fps: np.ndarray, left: np.ndarray, bits: int, keys: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Stars of fingerprints that share a variant.  ``left``: how many of the lowest
-    ``bits`` bits of each may still be flipped; the bits above have been settled."""
+    ``bits`` bits of each one's key may still be flipped; the bits above have been
+    settled, and keys that differ there do not meet.  A key is the fingerprint's lowest
+    bits if not given."""
+    if keys is None:
+        keys = fps & np.uint64((1 << bits) - 1)
     if len(fps) < 2:
         return
     size = sum(int((left == k).sum()) * (1 + (k > 0) * bits + (k > 1) * bits * (bits - 1) // 2) for k in range(3)) if left.max() < 3 else BLOCK + 1
     if size > BLOCK and bits > 1:
         top = np.uint64(1 << (bits - 1))
         for side in (np.uint64(0), top):
-            own = (fps & top) == side
+            own = (keys & top) == side
             keep = own | (left > 0)
-            yield from _met(fps[keep], (left - ~own)[keep], bits - 1)
+            yield from _met(fps[keep], (left - ~own)[keep], bits - 1, keys[keep] & ~top | side)
         return
-    low = np.uint64((1 << bits) - 1)
-    keys, who = [], []
+    variants, who = [], []
     for k in np.unique(left).tolist():
         at = np.flatnonzero(left == k)
         flips = _flips(bits, k)
-        keys.append(((fps[at] & low)[:, None] ^ flips[None, :]).ravel())
+        variants.append((keys[at][:, None] ^ flips[None, :]).ravel())
         who.append(np.repeat(at, len(flips)))
-    keys, who = np.concatenate(keys), np.concatenate(who)
-    order = np.argsort(keys)
-    keys, who = keys[order], who[order]
-    head = np.ones(len(keys), dtype=bool)
-    head[1:] = keys[1:] != keys[:-1]
+    variants, who = np.concatenate(variants), np.concatenate(who)
+    order = np.argsort(variants)
+    variants, who = variants[order], who[order]
+    head = np.ones(len(variants), dtype=bool)
+    head[1:] = variants[1:] != variants[:-1]
     group = np.cumsum(head) - 1
     lead = np.minimum.reduceat(who, np.flatnonzero(head))[group]
     other = lead != who
@@ -156,15 +163,28 @@ def _local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v[far], v[root[far]]
 
 
-def lead_bits_for(n: int, half: int) -> int:
-    """The fewest leading bits with which a pattern gathers :data:`GATHERED` of ``n``
-    fingerprints on the average."""
+def lead_bits_for(n: int, most: int) -> int:
+    """The fewest leading bits with which a pattern within ``most`` bits gathers
+    :data:`GATHERED` of ``n`` fingerprints on the average."""
     bits = LEAD_BITS
-    while bits < BITS // 2 and n * len(_flips(bits, half)) > GATHERED << bits:
+    while bits < BITS // 2 and n * len(_flips(bits, most)) > GATHERED << bits:
         bits += 1
     return bits
 
 
+def _halves(fps: np.ndarray, bits: int, low: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Of the upper and of the lower half of the lowest ``low`` bits: the fingerprints with
+    this half above their other bits, below what is above ``bits``; how many the other bits
+    are, and how many the half has."""
+    cut = low // 2
+    field = lambda a, b: (fps >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
+    above = fps >> np.uint64(bits) << np.uint64(bits) if bits < BITS else np.uint64(0)
+    lead, upper, lower = field(low, bits), field(cut, low), field(0, cut)
+    join = lambda first, last, n, m: above | first << np.uint64(bits - n) | lead << np.uint64(m) | last
+    yield join(upper, lower, low - cut, cut), bits - (low - cut), low - cut
+    yield join(lower, upper, cut, low - cut), bits - cut, cut
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, lead_bits: int | None = None, bits: int = BITS, tables: int = 1, forest: bool = True) -> DataFrame:
     """(a, b): edges whose components are those of all pairs of ``distinct`` (column fp)
     with at most ``radius`` differing bits.  ``radius`` is even and at most 4.
@@ -175,16 +195,34 @@ def links(distinct: DataFrame, radius: int = RADIUS, lead_bits: int | None = Non
     if radius not in (2, 4):
         raise ValueError("radius must be 2 or 4")
     half = radius // 2
-    lead_bits = lead_bits or lead_bits_for(distinct.count() // tables, half)
+    lead_bits = lead_bits or lead_bits_for(distinct.count() // tables, half - 1)
     low = bits - lead_bits
-    flips = _flips(lead_bits, half)
-    spent = np.array([bin(int(f)).count("1") for f in flips], dtype=np.int8)
+    flips = _flips(lead_bits, half - 1)
+    lefts = np.append(half - np.bitwise_count(flips).astype(np.int8), np.full(2, half, dtype=np.int8))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batches, 8192):
             fps = part.column(0).to_numpy().view(np.uint64)
-            lead = ((fps >> np.uint64(low))[:, None] ^ flips[None, :]).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(lead.astype(np.int32)), pa.array(np.repeat(fps, len(flips)).view(np.int64)), pa.array(np.tile((half - spent).astype(np.int8), len(fps)))], ["lead", "fp", "left"])
+            # three kinds of patterns, told apart by the remainder: leading bits, and as many of either half
+            leads = [((fps >> np.uint64(low))[:, None] ^ flips[None, :]) * np.uint64(3)]
+            for kind, (turned, rest, size) in enumerate(_halves(fps, bits, low), 1):
+                leads.append((turned >> np.uint64(rest + max(0, size - lead_bits)))[:, None] * np.uint64(3) + np.uint64(kind))
+            lead = np.concatenate(leads, axis=1).ravel().view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(lead), pa.array(np.repeat(fps, len(lefts)).view(np.int64)), pa.array(np.tile(lefts, len(fps)))], ["lead", "fp", "left"])
+
+    def stars(kind: int, fps: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if not kind:
+            yield from _met(fps, left, low)
+            return
+        turned, rest, _ = list(_halves(fps, bits, low))[kind - 1]
+        _, same, n = np.unique(turned >> np.uint64(rest), return_inverse=True, return_counts=True)
+        shared = n[same] > 1
+        for x, y in _met(fps[shared], left[shared], rest, turned[shared]):
+            # what the leading bits, or the upper half, have brought together is not listed again
+            other = np.bitwise_count((x ^ y) >> np.uint64(low)) > radius - 2
+            if kind == 2:
+                other &= (x ^ y) >> np.uint64(low // 2) << np.uint64(BITS - low + low // 2) != 0
+            yield x[other], y[other]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +231,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, lead_bits: int | None = Non
             order = np.argsort(fps)  # a star's middle must not depend on the order of arrival
             fps, left = fps[order], left[order]
             a, b = [], []
-            for x, y in _met(fps, left, low):
+            for x, y in stars(parts[0].column(0)[0].as_py() % 3, fps, left):
                 near = np.bitwise_count(x ^ y) <= radius
                 a.append(x[near])
                 b.append(y[near])
@@ -216,7 +254,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, lead_bits: int | None = Non
         if held:
             yield from solve(held)
 
-    sent = distinct.select("fp").mapInArrow(send, "lead int, fp long, left byte")
+    sent = distinct.select("fp").mapInArrow(send, "lead long, fp long, left byte")
     return sent.repartition("lead").sortWithinPartitions("lead").mapInArrow(meet, "a long, b long")
 
 
