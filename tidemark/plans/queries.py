@@ -385,8 +385,9 @@ def hlc_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT u AS id, w AS wall_ms, c AS counter, 2::bigint AS payloads FROM e WHERE t = 'view' AND i % 11 = 0 AND i % 10 <> 0")
 def event_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some views arrive again under the same event with another value."""
-    views = ops(spark, sf_dir).where("kind = 'cell_lww' and col = 'value' and site = 'view'")
-    other = views.where("hlc.counter % 11 = 0 and val.k = 'number'").withColumn("val", S.make("number", n=F.col("val.n") + 1))
+    views = log(spark, sf_dir).where("kind = 'cell_lww' and col = 'value' and site = 'view'")
+    # by event number, of which the clock's counter is a remainder; a text differs from null and any number
+    other = views.where("seq % 11 = 0 and seq % 10 <> 0").withColumn("val", S.of_string(F.lit("another")))
     found = M.conflicts(views.unionByName(other))
     return found.select(F.col("key_id").alias("id"), "hlc.wall_ms", "hlc.counter", "payloads")
 
