@@ -25,3 +25,7 @@ def test_conflicts_by_event_number(spark, tmp_path):
 def test_conflicts_whatever_the_value(spark, tmp_path):
     odd = "CASE n % 5 WHEN 0 THEN NULL WHEN 1 THEN 'nan'::double WHEN 2 THEN 'inf'::double WHEN 3 THEN 1e300 ELSE -1.0 END"
     check(spark, tmp_path, "event_conflicts", f"(n % 9)::bigint AS user_id, 'view' AS event_type, {odd} AS value")
+
+
+def test_clashes_by_event_number(spark, tmp_path):
+    check(spark, tmp_path, "type_clashes", "n::bigint % 350 AS user_id, CASE WHEN n % 3 = 0 THEN 'view' ELSE 'purchase' END AS event_type, (n % 100)::double AS value")

@@ -394,8 +394,8 @@ def event_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT DISTINCT u AS id, 2::bigint AS types FROM e WHERE t = 'purchase' AND i % 5 = 0")
 def type_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = ops(spark, sf_dir).where("col = 'value'")
-    wrong = whole.where("site = 'purchase' and hlc.counter % 5 = 0").withColumn("kind", F.lit("cell_mv_register"))
+    whole = log(spark, sf_dir).where("col = 'value'")
+    wrong = whole.where("site = 'purchase' and seq % 5 = 0").withColumn("kind", F.lit("cell_mv_register"))
     return M.type_clashes(whole.unionByName(wrong)).select(F.col("key_id").alias("id"), "types")
 
 
